@@ -23,10 +23,12 @@ TRIGGERS = (
 )
 
 
-def feature_stats(df: DataFrame, features: Sequence[str], prefix: str = "feature") -> DataFrame:
+def feature_stats(
+    df: DataFrame, features: Sequence[str], prefix: str = "feature", keys: Sequence[str] = ()
+) -> DataFrame:
     """feature_name, mean, population std and rows; what is missing or not finite counts as zero.
 
-    One aggregate over all columns, then one row is turned: the table is never exploded.
+    One aggregate over all columns, then its row per key is turned: the table is never exploded.
     """
     def value(name):
         x = F.col(name).cast("double")
@@ -40,7 +42,7 @@ def feature_stats(df: DataFrame, features: Sequence[str], prefix: str = "feature
                  F.col(f"_s{i}").alias(f"{prefix}_std"), F.col("_rows").alias(f"{prefix}_rows"))
         for i, name in enumerate(features)
     ])
-    return df.agg(*aggs).select(F.inline(cells))
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(cells))
 
 
 def moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -68,6 +70,17 @@ def drift(reference: DataFrame, stream: DataFrame, z_limit: float = DRIFT_Z) ->
     )
 
 
+def split_drift(df: DataFrame, features: Sequence[str], flag: str = "is_test", z_limit: float = DRIFT_Z) -> DataFrame:
+    """Drift of the flagged rows against the others, in one pass over the table."""
+    stats = feature_stats(df, features, "x", [flag])
+
+    def side(flagged: bool, prefix: str) -> DataFrame:
+        rows = stats.where(F.col(flag) == flagged)
+        return rows.select("feature_name", *[F.col(f"x_{n}").alias(f"{prefix}_{n}") for n in ("mean", "std", "rows")])
+
+    return drift(side(False, "reference"), side(True, "stream"), z_limit)
+
+
 def top_drift(drifted: DataFrame, n: int = TOP_DRIFT) -> DataFrame:
     return drifted.orderBy(F.desc("drifted"), F.desc("z_shift"), "feature_name").limit(n)
 

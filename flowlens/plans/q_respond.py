@@ -235,11 +235,8 @@ select feature_name, round(reference_mean, 6) as reference_mean, round(reference
 
 
 def drifted(spark, sf_dir):
-    flows = features.engineer(view(spark, sf_dir, "flows"))
-    marked = splits.train_test_split(flows, "label_multiclass", "row_id")
-    both = {name: drift.feature_stats(marked.where(F.col("is_test") == test), DRIFTING, name)
-            for name, test in (("reference", False), ("stream", True))}
-    return drift.drift(both["reference"], both["stream"])
+    marked = splits.train_test_split(view(spark, sf_dir, "flows"), "label_multiclass", "row_id")
+    return drift.split_drift(features.engineer(marked), DRIFTING)
 
 
 @query("Q14_feature_drift", DRIFT_SQL)
