@@ -152,3 +152,34 @@ def hash_cut(
     if flag:
         return out.withColumn(flag, inside).select(*df.columns, flag)
     return out.where(inside).select(*df.columns)
+
+
+def exact_quantiles(
+    df: DataFrame, value_col: str, quantiles: Sequence[float], keys: Sequence[str] = (), buckets: int = 128
+) -> DataFrame:
+    """One row per key with exact quantiles `q0`, `q1`, ..., interpolated between neighbouring rows.
+
+    Equal values are counted first and the counts are prefix-summed in buckets; `percentile` would hold
+    every distinct value of a key in one buffer.
+    """
+    ks = list(keys)
+    counted = df.where(F.col(value_col).isNotNull()).groupBy(*ks, value_col).agg(F.count("*").alias("_n"))
+    ranked = value_prefix(counted, ks, value_col, ["_n"], buckets)
+    totals = counted.groupBy(*ks).agg(F.sum("_n").alias("_all"))
+    # one row per key
+    placed = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), [*ks, "_k"])
+    made = []
+    for i, q in enumerate(quantiles):
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("_all") - 1)
+
+        def value_at(rank):
+            inside = (F.col("_n_lt") <= rank) & (rank < F.col("_n_lt") + F.col("_n"))
+            return F.max(F.when(inside, F.col(value_col)))
+
+        made += [value_at(low).alias(f"_l{i}"), value_at(high).alias(f"_h{i}"), F.max(at - low).alias(f"_f{i}")]
+    found = placed.groupBy(*ks).agg(*made)
+    return found.select(*ks, *[
+        (F.col(f"_l{i}") + F.col(f"_f{i}") * (F.col(f"_h{i}") - F.col(f"_l{i}"))).alias(f"q{i}")
+        for i in range(len(quantiles))])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowlens.functions import vocab
-from flowlens.operators.ordering import dense_index
+from flowlens.operators.ordering import dense_index, exact_quantiles
 
 MAX_PAGE = 1000
 
@@ -174,14 +174,15 @@ def request_table(requests: DataFrame, features: Sequence[str], keep: Sequence[s
 def latency_summary(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Percentiles and throughput of a run log with `rows` and `latency_ms`."""
     ms = F.col("latency_ms")
-    cuts = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return log.groupBy(*keys).agg(
+    sums = log.groupBy(*keys).agg(
         F.sum("rows").alias("total_rows"), F.count("*").alias("total_calls"), F.avg(ms).alias("mean_ms"),
-        cuts.alias("_q"), F.max(ms).alias("max_ms"),
-        (F.sum(ms) / F.greatest(F.sum("rows"), F.lit(1))).alias("mean_row_ms"),
+        F.max(ms).alias("max_ms"), (F.sum(ms) / F.greatest(F.sum("rows"), F.lit(1))).alias("mean_row_ms"),
         F.when(F.sum(ms) > 0, F.sum("rows") / (F.sum(ms) / 1000.0)).otherwise(0.0).alias("rows_per_second"),
-    ).select(*keys, "total_rows", "total_calls", "mean_ms", F.col("_q")[0].alias("p50_ms"),
-             F.col("_q")[1].alias("p95_ms"), F.col("_q")[2].alias("p99_ms"), "max_ms", "mean_row_ms", "rows_per_second")
+    ).withColumn("_k", F.lit(1))
+    cuts = exact_quantiles(log, "latency_ms", (0.5, 0.95, 0.99), keys).withColumn("_k", F.lit(1))
+    return sums.join(cuts, [*keys, "_k"]).select(
+        *keys, "total_rows", "total_calls", "mean_ms", F.col("q0").alias("p50_ms"), F.col("q1").alias("p95_ms"),
+        F.col("q2").alias("p99_ms"), "max_ms", "mean_row_ms", "rows_per_second")
 
 
 def best_candidate(candidates: DataFrame, limit_ms: float, key: str = "benchmark") -> DataFrame:

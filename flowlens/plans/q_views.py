@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import quantized
 from flowlens.operators import alerts, views
+from flowlens.operators.ordering import exact_quantiles
 from flowlens.plans.q_alerts import scored
 from flowlens.plans.registry import define, oracle, query
 from flowlens.sources.bindings import table, view
@@ -25,10 +26,12 @@ def latencies(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(
-        F.col("event_type").alias("benchmark"), (F.lit(64) * (1 + F.col("user_id") % 5)).alias("candidate_value")
-    ).agg(F.percentile("value", F.lit(0.95)).alias("p95_ms"),
-          (F.count("*") * 1e3 / (F.sum(F.round(F.col("value") * 100)) / F.lit(100.0))).alias("rows_per_second"))
+    keys = ["benchmark", "candidate_value"]
+    runs = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("benchmark"), (F.lit(64) * (1 + F.col("user_id") % 5)).alias("candidate_value"), "value")
+    speed = runs.groupBy(*keys).agg(
+        (F.count("*") * 1e3 / (F.sum(F.round(F.col("value") * 100)) / F.lit(100.0))).alias("rows_per_second"))
+    return speed.join(exact_quantiles(runs, "value", (0.95,), keys).withColumnRenamed("q0", "p95_ms"), keys)
 
 
 RECENT = ("stream_order", "source_file", "predicted_multiclass_label_name", "risk_score", "alert_level")

@@ -89,8 +89,20 @@ select event_id as original_index,
 from events
 """
 
+# Probabilities of three components over five classes, one column each.
+CLASSES = (0, 1, 2, 10, 14)
+COMPONENTS = ("c0", "c1", "c2")
+COMPS = """
+select event_id as row_id, case event_type when 'view' then 0 when 'click' then 2 when 'error' then 10
+    when 'signup' then 14 else 1 end as label_multiclass,
+""" + ",\n".join(
+    f"  ((event_id * {31 + 6 * c} + {97 * k * (c + 2)}) % 1000) / 1000e0 as c{c}k{k}" for c in range(3) for k in range(5)
+) + """
+from events
+"""
+
 SOURCE_TABLE = "events"
-TEXTS = {"flows": FLOWS, "flows_raw": FLOWS_RAW, "preds": PREDS, "anom": ANOM}
+TEXTS = {"flows": FLOWS, "flows_raw": FLOWS_RAW, "preds": PREDS, "anom": ANOM, "comps": COMPS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +121,10 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"), "label"
     )
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, label_multiclass and one probability array per component."""
+    df = view(spark, sf_dir, "comps")
+    return df.select("row_id", "label_multiclass", *[
+        F.array(*[f"{c}k{k}" for k in range(len(CLASSES))]).alias(c) for c in COMPONENTS])
