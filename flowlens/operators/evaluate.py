@@ -116,16 +116,16 @@ def roc_curve(df: DataFrame, truth: str, score: str, points: int = ROC_POINTS) -
     totals = counted.agg(*[F.sum(c).alias(f"_{c}") for c in ("pos", "neg", "one")]).select("*", k)
     ranked = value_prefix(counted, [], "threshold", ["pos", "neg", "one"]).select("*", k)
     all_points = ranked.join(F.broadcast(totals), "_k").select(
-        (F.col("_one") - F.col("one_lt")).alias("at"), "threshold", "_one",
+        (F.col("_one") - F.col("one_lt")).alias("point"), "threshold", "_one",
         ((F.col("_pos") - F.col("pos_lt")) / F.col("_pos")).alias("true_positive_rate"),
         ((F.col("_neg") - F.col("neg_lt")) / F.col("_neg")).alias("false_positive_rate"),
     ).unionByName(totals.select(
-        F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("double").alias("threshold"), "_one",
+        F.lit(0).cast("bigint").alias("point"), F.lit(None).cast("double").alias("threshold"), "_one",
         F.lit(0.0).alias("true_positive_rate"), F.lit(0.0).alias("false_positive_rate")))
     last, steps = F.col("_one"), points - 1
-    nth = F.floor((F.col("at") * steps + last - 1) / last)
-    kept = (last < points) | (F.floor(nth * last / steps) == F.col("at"))
-    return all_points.where(kept).select("at", "threshold", "true_positive_rate", "false_positive_rate")
+    nth = F.floor((F.col("point") * steps + last - 1) / last)
+    kept = (last < points) | (F.floor(nth * last / steps) == F.col("point"))
+    return all_points.where(kept).select("point", "threshold", "true_positive_rate", "false_positive_rate")
 
 
 def anomaly_metrics(df: DataFrame, truth: str, score: str, threshold: float) -> DataFrame:

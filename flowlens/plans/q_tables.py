@@ -124,7 +124,7 @@ def f2_unseen(spark, sf_dir):
     df = flows(spark, sf_dir)
     seen = transform.fit_categories(df.where("source_file = 'source_1.csv'"), "source_file")
     out = transform.one_hot(df, "source_file", seen)
-    return out.select("row_id", F.col("source_file_source_1.csv").alias("source_1"))
+    return out.select("row_id", F.col("`source_file_source_1.csv`").alias("source_1"))
 
 
 FEATURES = ("destination_port", "flow_duration", "flow_bytes_per_s", "flow_packets_per_s", "idle_mean", "active_mean")
@@ -282,19 +282,21 @@ WEIGHTS = {"c0": 0.9, "c1": -0.2, "c2": 0.6}
 
 
 def vote_sql(w) -> str:
-    mixed = ", ".join("(" + " + ".join(f"{w[c]}e0 * {c}k{k}" for c in w) + f") as m{k}" for k in range(5))
+    """The same order of operations as the expression, so that equal scores stay equal."""
+    whole = "(" + " + ".join(f"{max(v, 0.0)}e0" for v in w.values()) + ")"
+    mixed = ", ".join("0e0" + "".join(f" + {c}k{k} * ({max(v, 0.0)}e0 / {whole})" for c, v in w.items()) + f" as m{k}" for k in range(5))
     total = " + ".join(f"m{k}" for k in range(5))
     return f"""select row_id, label_multiclass, {', '.join(f'm{k} / case when t = 0 then 1e0 else t end as p{k}' for k in range(5))}
 from (select *, {total} as t from (select *, {mixed} from comps))"""
 
 
 define("soft", vote_sql({"c0": 1.0, "c1": 1.0, "c2": 1.0}), "comps")
-define("weighted", vote_sql({"c0": 0.9, "c2": 0.6}), "comps")
-P = ", ".join(f"round(p{k}, 6) as p{k}" for k in range(5))
+define("weighted", vote_sql(WEIGHTS), "comps")
+P = ", ".join(f"round(p{k}, 9) as p{k}" for k in range(5))
 
 
 def spread(name):
-    return [quantized(F.col(name)[k]).alias(f"p{k}") for k in range(5)]
+    return [quantized(F.col(name)[k], 9).alias(f"p{k}") for k in range(5)]
 
 
 @query("M2_soft_vote", oracle("soft", f"select row_id, {P} from soft"))
@@ -310,14 +312,14 @@ def m2_weighted(spark, sf_dir):
 
 
 @query("M2_weighted_average_long", oracle("weighted", " union all ".join(
-    f"select row_id, cast({k} as int) as class_id, round(p{k}, 6) as probability from weighted" for k in range(5))))
+    f"select row_id, cast({k} as int) as class_id, round(p{k}, 9) as probability from weighted" for k in range(5))))
 def m2_long(spark, sf_dir):
     df = components(spark, sf_dir)
     cells = [F.struct(F.lit(c).alias("component"), F.lit(k).alias("class_id"), F.col(c)[k].alias("probability"))
              for c in COMPONENTS for k in range(5)]
     long = df.select("row_id", F.inline(F.array(*cells)))
     w = spark.createDataFrame(list(WEIGHTS.items()), "component string, weight double")
-    return ensemble.combine_long(long, w).withColumn("probability", quantized("probability"))
+    return ensemble.combine_long(long, w).withColumn("probability", quantized("probability", 9))
 
 
 define("component_metrics", " union all ".join(
@@ -480,12 +482,12 @@ def m10(spark, sf_dir):
 
 @query("M11_roc_curve", oracle("preds", """
 with g as (select binary_attack_probability as s, count(*) filter (where true_binary_label = 1) as pos, count(*) filter (where true_binary_label = 0) as neg from preds group by 1),
-c as (select s as threshold, row_number() over (order by s desc) as at, sum(pos) over (order by s desc) / sum(pos) over () as tpr,
+c as (select s as threshold, row_number() over (order by s desc) as point, sum(pos) over (order by s desc) / sum(pos) over () as tpr,
   sum(neg) over (order by s desc) / sum(neg) over () as fpr from g
   union all select null, 0, 0e0, 0e0),
-n as (select max(at) as last from c)
-select at, round(threshold, 6) as threshold, round(tpr, 6) as true_positive_rate, round(fpr, 6) as false_positive_rate from c, n
-where last < 400 or at in (select (i * last) // 399 from generate_series(0, 399) as x(i))"""))
+n as (select max(point) as last from c)
+select point, round(threshold, 6) as threshold, round(tpr, 6) as true_positive_rate, round(fpr, 6) as false_positive_rate from c, n
+where last < 400 or point in (select (i * last) // 399 from generate_series(0, 399) as x(i))"""))
 def m11(spark, sf_dir):
     df = evaluate.roc_curve(view(spark, sf_dir, "preds"), "true_binary_label", "binary_attack_probability")
     return df.withColumns({c: quantized(c) for c in ("threshold", "true_positive_rate", "false_positive_rate")})
@@ -519,8 +521,8 @@ def m14(spark, sf_dir):
 
 @query("M15_top_contributions", oracle("contributions", f"""
 select stream_order, true_binary_label, cast(rn as int) as rank, feature_name, contribution, abs(contribution) as abs_contribution
-from (select *, row_number() over (partition by stream_order order by abs(contribution) desc, at) as rn
-  from ({' union all '.join(f"select stream_order, true_binary_label, {i} as at, '{c}' as feature_name, {c} as contribution from contributions" for i, c in enumerate(PARTS))})) where rn <= 4"""))
+from (select *, row_number() over (partition by stream_order order by abs(contribution) desc, place) as rn
+  from ({' union all '.join(f"select stream_order, true_binary_label, {i} as place, '{c}' as feature_name, {c} as contribution from contributions" for i, c in enumerate(PARTS))})) where rn <= 4"""))
 def m15(spark, sf_dir):
     return explain.top_contributions(contributions(spark, sf_dir), PARTS, ("stream_order", "true_binary_label"), 4)
 
@@ -565,11 +567,11 @@ def m16(spark, sf_dir):
 
 @query("M16_voting_multiclass", oracle("comps weighted", f"""
 with b as (select {', '.join(f'avg({c}k{k}) as b_{c}k{k}' for c in ('c0', 'c2') for k in range(5))} from comps where label_multiclass = 0),
-j as (select w.*, comps.* exclude (row_id, label_multiclass), b.*, case {' '.join(f'when w.p{k} = greatest(w.p0, w.p1, w.p2, w.p3, w.p4) then {k}' for k in range(5))} end as at
+j as (select w.*, comps.* exclude (row_id, label_multiclass), b.*, case {' '.join(f'when w.p{k} = greatest(w.p0, w.p1, w.p2, w.p3, w.p4) then {k}' for k in range(5))} end as place
   from weighted w join comps using (row_id) cross join b)
-select row_id, cast(at as int) as predicted_class,
-  {', '.join(f"round({s} * (case at {' '.join(f'when {k} then {c}k{k} - b_{c}k{k}' for k in range(5))} end), 6) as contribution_{c}" for c, s in (('c0', '(9e-1 / 15e-1)'), ('c2', '(6e-1 / 15e-1)')))},
-  round(case at {' '.join(f'when {k} then p{k}' for k in range(5))} end, 6) as explained_value
+select row_id, cast(place as int) as predicted_class,
+  {', '.join(f"round({s} * (case place {' '.join(f'when {k} then {c}k{k} - b_{c}k{k}' for k in range(5))} end), 6) as contribution_{c}" for c, s in (('c0', '(9e-1 / 15e-1)'), ('c2', '(6e-1 / 15e-1)')))},
+  round(case place {' '.join(f'when {k} then p{k}' for k in range(5))} end, 6) as explained_value
 from j"""))
 def m16_multi(spark, sf_dir):
     df = components(spark, sf_dir).withColumn("p", ensemble.combine(COMPONENTS, WEIGHTS, 5))
@@ -605,14 +607,14 @@ STACK_SCORES = ", ".join(
 def stack_part(name: str) -> str:
     cells = [(j, n) for j, n in enumerate(STACK_INPUTS) if n == name or (n[:2] == name and n != "extra")]
     arms = " ".join(f"when {i} then " + " + ".join(f"({STACK_COEF[i][j]}e0) * ({n} - b_{n})" for j, n in cells) for i in range(5))
-    return f"round(case at {arms} end, 6) as contribution_{name}"
+    return f"round(case place {arms} end, 6) as contribution_{name}"
 
 
 @query("M17_stacking_multiclass", oracle("stacked", f"""
 with b as (select {', '.join(f'avg({n}) as b_{n}' for n in STACK_INPUTS)} from stacked where label_multiclass = 0),
 s as (select *, {STACK_SCORES} from stacked cross join b),
-j as (select *, case {' '.join(f'when s{i} = greatest(s0, s1, s2, s3, s4) then {i}' for i in range(5))} end as at from s)
-select row_id, cast(at as int) as predicted_class, {', '.join(stack_part(n) for n in ('c0', 'c1', 'extra'))},
+j as (select *, case {' '.join(f'when s{i} = greatest(s0, s1, s2, s3, s4) then {i}' for i in range(5))} end as place from s)
+select row_id, cast(place as int) as predicted_class, {', '.join(stack_part(n) for n in ('c0', 'c1', 'extra'))},
   round(greatest(s0, s1, s2, s3, s4), 6) as explained_value from j"""))
 def m17_multi(spark, sf_dir):
     df = components(spark, sf_dir).withColumn("extra", F.col("c2")[0])
