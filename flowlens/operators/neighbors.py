@@ -101,29 +101,31 @@ def _best(need: int, groups: Sequence[str], vectors: bool):
     def meet(q, p, group) -> dict:
         x = np.array([c["_vec"] for c in q], dtype="float64")
         y = np.array([c["_vec"] for c in p], dtype="float64")
-        out: dict[str, list] = {g: [] for g in groups}
-        out |= {"_rep": [], "_dist": [], "_near": []}
-        if vectors:
-            out["_nvec"] = []
+        reps = np.array([c["_rep"] for c in p])
+        place = np.argsort(np.argsort(reps))
         yy, k = (y * y).sum(axis=1), min(need, len(y))
+        asked, found, dist = [], [], []
         for start in range(0, len(x), 256):
             part = x[start:start + 256]
             xx = (part * part).sum(axis=1)
             rough = xx[:, None] + yy[None, :] - 2.0 * part @ y.T
             # everything within rounding of the k-th is measured again without cancellation
             limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (xx + yy.max())
-            for i, j in enumerate(rough <= limit[:, None]):
-                at = np.nonzero(j)[0]
-                exact = np.sqrt(((y[at] - part[i]) ** 2).sum(axis=1))
-                order = sorted(range(len(at)), key=lambda n: (exact[n], p[at[n]]["_rep"]))[:k]
-                for n in order:
-                    for g, v in zip(groups, group):
-                        out[g].append(v)
-                    out["_rep"].append(q[start + i]["_rep"])
-                    out["_dist"].append(float(exact[n]))
-                    out["_near"].append(list(p[at[n]]["_ids"]))
-                    if vectors:
-                        out["_nvec"].append(list(p[at[n]]["_vec"]))
+            i, j = np.nonzero(rough <= limit[:, None])
+            exact = np.sqrt(((y[j] - part[i]) ** 2).sum(axis=1))
+            order = np.lexsort((place[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            best = rank < k
+            asked.append(i[best] + start)
+            found.append(j[best])
+            dist.append(exact[best])
+        asked, found = np.concatenate(asked), np.concatenate(found)
+        out = {g: [v] * len(asked) for g, v in zip(groups, group)}
+        out |= {"_rep": np.array([c["_rep"] for c in q])[asked], "_dist": np.concatenate(dist),
+                "_near": [p[j]["_ids"] for j in found]}
+        if vectors:
+            out["_nvec"] = [p[j]["_vec"] for j in found]
         return out
 
     return run
@@ -151,6 +153,7 @@ def knn_join(
     base = points.select(*gs, F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
     asked = base if queries is None else queries.select(*gs, F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
     reps = _representatives(base, gs, need)
+    pivots = max(1, min(pivots, math.ceil(base.count() / block)))
     centres = [r["_vec"] for r in reps.orderBy(hash_key("_rep", "pivot"), "_rep").limit(pivots).collect()]
     spark = points.sparkSession
     out_type = f"{points.schema[id_col].dataType.simpleString()}"
