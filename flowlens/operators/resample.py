@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowlens.functions.columns import hash_unit
 from flowlens.operators.neighbors import knn_join
 from flowlens.operators.ordering import class_sizes, hash_cut
+from flowlens.session import cut_lineage
 from flowlens.operators.splits import SEED, cap_classes, half_up
 
 NEIGHBORS = 5
@@ -110,7 +111,7 @@ def adasyn(df: DataFrame, class_col: str, id_col: str, vec_col: str, minority, m
     if few >= target or few < 2:
         return None
     generate = target - few
-    scores = difficulty(df, class_col, id_col, vec_col, minority, k)
+    scores = cut_lineage(difficulty(df, class_col, id_col, vec_col, minority, k))
     copies = adasyn_copies(scores, id_col, generate, seed)
     if copies is None:
         return smote(df, class_col, id_col, vec_col, {minority: generate}, k, seed)
