@@ -132,7 +132,7 @@ def balance_binary(df: DataFrame, class_col: str, id_col: str, vec_col: str, maj
     sizes = class_sizes(df, class_col)
     few, many = sizes.get(1, 0), sizes.get(0, 0)
     kept_many = min(many, max(majority_cap, few))
-    capped = cap_classes(df, class_col, id_col, {0: kept_many, 1: kept_many}, seed)
+    capped = cut_lineage(cap_classes(df, class_col, id_col, {0: kept_many, 1: kept_many}, seed))
     made = adasyn(capped, class_col, id_col, vec_col, 1, 0, ratio, k, seed)
     return with_synthetic(capped, made, id_col, vec_col, class_col)
 
@@ -143,7 +143,7 @@ def balance_multiclass(df: DataFrame, class_col: str, id_col: str, vec_col: str,
     """Classes capped, then attack classes filled up to the larger of the minimum and their median size."""
     sizes = class_sizes(df, class_col)
     caps = {c: benign_cap if c == benign else attack_cap for c in sizes}
-    capped = cap_classes(df, class_col, id_col, caps, seed)
+    capped = cut_lineage(cap_classes(df, class_col, id_col, caps, seed))
     kept = {c: min(n, caps[c]) for c, n in sizes.items()}
     attacks = [n for c, n in kept.items() if c != benign]
     target = max(min_target, int(statistics.median(attacks))) if attacks else min_target

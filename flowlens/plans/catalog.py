@@ -6,7 +6,7 @@ import importlib
 
 from flowlens.plans.registry import ORACLES, QUERIES
 
-MODULES = ("q_alerts", "q_features", "q_respond", "q_views", "q_ingest", "q_tables", "q_resample", "q_models")
+MODULES = ("q_alerts", "q_features", "q_respond", "q_views", "q_ingest", "q_tables", "q_resample", "q_models", "q_streams")
 
 for _name in MODULES:
     importlib.import_module(f"flowlens.plans.{_name}")
