@@ -103,12 +103,14 @@ def fixed_text(c: str | Column, digits: int) -> Column:
 
     `format_string` rounds the shortest decimal text half up, which differs on values such as 40.625.
     """
-    scaled = F.floor(as_col(c) * F.lit(2.0**56)).cast("decimal(20,0)")
-    unit, one = 10**digits, F.lit(2**56).cast("decimal(20,0)")
-    n = scaled * F.lit(unit).cast("decimal(10,0)")
-    rest = n % one
-    whole = ((n - rest) / one).cast("bigint")
-    half = F.lit(2**55).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    q = whole + F.when(up, 1).otherwise(0)
+    unit, low_bits = 10**digits, 2**28 - 1
+    scaled = (as_col(c) * F.lit(2.0**56)).cast("bigint")
+    # scaled * unit in two limbs of 28 bits, so that no product overflows
+    small = scaled.bitwiseAND(F.lit(low_bits)) * unit
+    large = F.shiftright(scaled, 28) * unit + F.shiftright(small, 28)
+    whole = F.shiftright(large, 28)
+    rest = F.shiftleft(large.bitwiseAND(F.lit(low_bits)), 28) + small.bitwiseAND(F.lit(low_bits))
+    half = F.lit(2**55)
+    up = (rest > half) | ((rest == half) & (whole.bitwiseAND(F.lit(1)) == 1))
+    q = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
     return F.concat(F.floor(q / unit).cast("string"), F.lit("."), F.lpad((q % unit).cast("string"), digits, "0"))

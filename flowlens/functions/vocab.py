@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.functions.local import local_table
+
 BENIGN = "BENIGN"
 
 # The ordered label vocabulary; the position is the multiclass id.
@@ -120,14 +122,14 @@ ALIASES = {alias_key(label): label for label in LABELS}
 def label_dim(spark: SparkSession) -> DataFrame:
     """alias_key, label, label_binary, label_multiclass: one row per known label."""
     rows = [(key, label, int(label != BENIGN), LABELS.index(label)) for key, label in ALIASES.items()]
-    return spark.createDataFrame(rows, "alias_key string, label string, label_binary tinyint, label_multiclass smallint")
+    return local_table(spark, rows, "alias_key string, label string, label_binary tinyint, label_multiclass smallint")
 
 
 def severity_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEVERITY.items()), "predicted_multiclass_label_name string, severity double")
+    return local_table(spark, list(SEVERITY.items()), "predicted_multiclass_label_name string, severity double")
 
 
 def descriptor_dim(spark: SparkSession) -> DataFrame:
     rows = [(label, *fields) for label, fields in DESCRIPTORS.items()]
     schema = "predicted_multiclass_label_name string, " + ", ".join(f"{f} string" for f in DESCRIPTOR_FIELDS)
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions import vocab
 from flowlens.functions.columns import fixed_text, require_columns
 
@@ -115,7 +116,7 @@ def alert_rows(scored: DataFrame, emit_normal: bool = False, max_rows: int | Non
 def level_counts(scored: DataFrame) -> DataFrame:
     """Rows, mean and maximum risk per level, with a row for every level."""
     spark = scored.sparkSession
-    levels = spark.createDataFrame([(v,) for v in vocab.LEVELS], "alert_level string")
+    levels = local_table(spark, [(v,) for v in vocab.LEVELS], "alert_level string")
     found = scored.groupBy("alert_level").agg(
         F.count("*").alias("rows"), F.avg("risk_score").alias("mean_risk"), F.max("risk_score").alias("max_risk")
     )

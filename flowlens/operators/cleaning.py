@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.columns import finite, is_inf, require_columns, squeeze, to_number
 from flowlens.operators.labels import canonicalize, unknown_labels
 from flowlens.operators.ordering import MAX_BROADCAST_ROWS
@@ -98,8 +99,7 @@ def deduplicate(df: DataFrame, row_id: str, ignored: Sequence[str] = ("source_fi
     if len(names) > MAX_BROADCAST_ROWS:
         first = df.groupBy(*keys).agg(F.min(F.struct(row_id, name)).alias("_first"))
         return first.select(*keys, "_first.*").select(*df.columns)
-    coded = df.sparkSession.createDataFrame(
-        list(enumerate(sorted(n for n in names if n is not None))), f"_code int, _name string")
+    coded = local_table(df.sparkSession, list(enumerate(sorted(n for n in names if n is not None))), f"_code int, _name string")
     numbered = df.join(F.broadcast(coded), F.col(name) == F.col("_name"), "left").drop(name, "_name")
     first = numbered.groupBy(*keys).agg(F.min(row_id).alias(row_id), F.min_by("_code", row_id).alias("_code"))
     return first.join(F.broadcast(coded.withColumnRenamed("_name", name)), "_code", "left").select(*df.columns)

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.local import local_table
+
 
 def normalize(weights: Mapping[str, float]) -> dict[str, float]:
     """Negative weights to zero, the rest to sum one; all zero: equal weights."""
@@ -80,7 +82,7 @@ def class_priors(df: DataFrame, target: str, labels: Sequence[int]) -> DataFrame
     """class_id, count, prior over the listed labels, absent ones with zero."""
     counts = df.groupBy(F.col(target).alias("class_id")).agg(F.count("*").alias("count"))
     kind = df.schema[target].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([(v,) for v in labels], f"class_id {kind}")
+    listed = local_table(df.sparkSession, [(v,) for v in labels], f"class_id {kind}")
     k = F.lit(1).alias("_k")
     rows = listed.join(counts, "class_id", "left").fillna(0, ["count"]).select("*", k)
     total = rows.agg(F.sum("count").alias("_n")).select("*", k)

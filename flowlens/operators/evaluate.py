@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.operators.ordering import value_prefix
 
 ROC_POINTS = 400
@@ -43,7 +44,7 @@ def class_report(df: DataFrame, truth: str, predicted: str, labels: Sequence) ->
     sums = pairs.select(F.inline(sides)).groupBy("label").agg(
         *[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     kind = df.schema[truth].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([(v,) for v in labels], f"label {kind}")
+    listed = local_table(df.sparkSession, [(v,) for v in labels], f"label {kind}")
     per = listed.join(sums, "label", "left").fillna(0, ["support", "predicted", "hits"])
     per = per.withColumns({"precision": ratio(F.col("hits"), F.col("predicted")),
                            "recall": ratio(F.col("hits"), F.col("support"))})

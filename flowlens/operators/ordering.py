@@ -10,16 +10,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.functions.columns import hash_key
 
-BLOCK_ROWS = 262_144
+BLOCK_ROWS = 32_768
 MAX_BROADCAST_ROWS = 20_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side only after counting it; a larger side keeps the planner's own join choice."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    """A table that proves small is read once and broadcast by value; a larger one keeps the planner's join choice."""
+    rows = df.limit(max_rows + 1).collect()
+    return F.broadcast(local_table(df.sparkSession, rows, df.schema)) if len(rows) <= max_rows else df
 
 
 def with_block(df: DataFrame, order_col: str, block_rows: int) -> DataFrame:
@@ -114,8 +115,7 @@ def hash_thresholds(
     """
     spark = df.sparkSession
     class_type = df.schema[class_col].dataType.simpleString()
-    quota = spark.createDataFrame(
-        [(c, int(q)) for c, q in quotas.items() if q > 0], f"_class {class_type}, _quota bigint"
+    quota = local_table(spark, [(c, int(q)) for c, q in quotas.items() if q > 0], f"_class {class_type}, _quota bigint"
     )
     keyed = df.select(F.col(class_col).alias("_class"), hash_key(row_id, seed).alias("_key"),
                       F.col(row_id).alias("_rid"))

@@ -10,6 +10,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.functions.local import local_table
 from flowlens.operators.ordering import value_prefix
 from flowlens.operators.transform import assemble, fit_scaler, scale
 
@@ -30,7 +31,7 @@ def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     matrix = Correlation.corr(assemble(df.select(*names), names), "features").first()[0].toArray()
     rows = [(i, j, names[i], names[j], None if math.isnan(matrix[i, j]) else float(abs(matrix[i, j])))
             for i in range(len(names)) for j in range(i + 1, len(names))]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, left string, right string, r double")
+    return local_table(df.sparkSession, rows, "i int, j int, left string, right string, r double")
 
 
 def correlation_filter(matrix: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFrame:
@@ -105,8 +106,7 @@ def eliminate(
     rank = {f: 1 for f in left}
     for n, gone in enumerate(reversed(out)):
         rank |= {f: n + 2 for f in gone}
-    return sample.sparkSession.createDataFrame(
-        [(f, rank[f], rank[f] == 1) for f in names], "feature string, ranking int, selected boolean")
+    return local_table(sample.sparkSession, [(f, rank[f], rank[f] == 1) for f in names], "feature string, ranking int, selected boolean")
 
 
 def principal_components(df: DataFrame, features: Sequence[str], variance: float = VARIANCE) -> DataFrame:
@@ -118,4 +118,4 @@ def principal_components(df: DataFrame, features: Sequence[str], variance: float
     for i, r in enumerate(ratios):
         rows.append((i + 1, float(r), float(total + r), bool(total < variance)))
         total += r
-    return df.sparkSession.createDataFrame(rows, "component int, variance_ratio double, cumulative double, needed boolean")
+    return local_table(df.sparkSession, rows, "component int, variance_ratio double, cumulative double, needed boolean")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from flowlens.functions.local import local_table
 from flowlens.functions import vocab
 from flowlens.operators.ordering import dense_index, exact_quantiles
 
@@ -19,7 +20,7 @@ def recent(df: DataFrame, n: int, order_col: str = "stream_order") -> DataFrame:
 
 def counts_by_level(scored: DataFrame) -> DataFrame:
     """A row for each alert level, also where there are no rows."""
-    levels = scored.sparkSession.createDataFrame([(v,) for v in vocab.LEVELS], "alert_level string")
+    levels = local_table(scored.sparkSession, [(v,) for v in vocab.LEVELS], "alert_level string")
     found = scored.groupBy("alert_level").agg(F.count("*").alias("count"))
     return levels.join(found, "alert_level", "left").fillna(0, ["count"])
 
@@ -32,7 +33,7 @@ def attack_distribution(alerts: DataFrame) -> DataFrame:
 def binary_confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row per actual class, one column per predicted class; both classes always there."""
     counted = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    rows = df.sparkSession.createDataFrame([(0, "Actual BENIGN"), (1, "Actual ATTACK")], "t int, actual string")
+    rows = local_table(df.sparkSession, [(0, "Actual BENIGN"), (1, "Actual ATTACK")], "t int, actual string")
     wide = counted.groupBy("t").pivot("p", [0, 1]).agg(F.sum("n"))
     return (
         rows.join(wide, "t", "left")
@@ -78,7 +79,7 @@ def compact_confusion(
     found = pairs.groupBy(bucket("actual").alias("actual"), bucket("predicted").alias("predicted")).agg(
         F.sum("n").alias("count"))
     names = F.array(*[F.lit(v) for v in labels])
-    grid = df.sparkSession.createDataFrame([(v,) for v in labels], "actual string").select(
+    grid = local_table(df.sparkSession, [(v,) for v in labels], "actual string").select(
         "actual", F.explode(names).alias("predicted"))
     return grid.join(found, ["actual", "predicted"], "left").fillna(0, ["count"])
 

@@ -9,7 +9,7 @@ from flowlens.functions.columns import clean_label, finite, is_inf, label_key, q
 from flowlens.operators import alerts, cleaning, labels, schema, splits
 from flowlens.plans.q_alerts import scored
 from flowlens.plans.registry import LABEL_SQL, define, oracle, query
-from flowlens.session import staging_path
+from flowlens.session import cut_lineage, staging_path
 from flowlens.sources import csv_files
 from flowlens.sources.bindings import table, view
 
@@ -447,14 +447,14 @@ def d56(spark, sf_dir):
 select c.label, cast(d.label_binary as tinyint) as label_binary, cast(d.label_multiclass as smallint) as label_multiclass, count(*) as count
 from cleaned c join {LABEL_SQL} d on d.label = c.label group by all"""))
 def d7(spark, sf_dir):
-    return labels.target_distribution(labels.label_rows(cleaned(spark, sf_dir)))
+    return labels.target_distribution(labels.label_rows(cut_lineage(cleaned(spark, sf_dir))))
 
 
 @query("D7_target_check", oracle("cleaned", """
 select count(*) as rows, count(*) filter (where label = 'BENIGN') as benign_rows, count(*) filter (where label = 'BENIGN') as binary_zero,
   count(*) filter (where label = 'BENIGN') as multiclass_zero, count(*) as binary_rows, true as consistent from cleaned"""))
 def d7_check(spark, sf_dir):
-    return labels.target_check(labels.label_rows(cleaned(spark, sf_dir)))
+    return labels.target_check(labels.label_rows(cut_lineage(cleaned(spark, sf_dir))))
 
 
 @query("D8_label_mapping", oracle("preds", f"""

@@ -204,10 +204,10 @@ def q12(spark, sf_dir):
 
 @query("Q12_response_summary", oracle("responded", """
 select count(*) as total_rows, count(*) filter (where is_zero_day) as zero_day_rows,
-  count(*) filter (where auto_block) as auto_block_rows, round(avg(novelty_score), 6) as average_novelty_score from responded"""))
+  count(*) filter (where auto_block) as auto_block_rows, round(avg(novelty_score), 4) as average_novelty_score from responded"""))
 def q12_summary(spark, sf_dir):
     df = respond.response_summary(classified(spark, sf_dir))
-    return df.withColumn("average_novelty_score", quantized("average_novelty_score"))
+    return df.withColumn("average_novelty_score", quantized("average_novelty_score", 4))
 
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
