@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 EPSILON = 1e-9
@@ -41,25 +43,27 @@ def is_inf(c: str | Column) -> Column:
 
 
 def finite(c: str | Column, otherwise: float | None = None) -> Column:
-    """Infinity and NaN to null, or to a given value."""
-    c = as_col(c)
-    fallback = F.lit(otherwise).cast("double")
-    out = F.when(F.isnan(c) | is_inf(c), fallback).otherwise(c)
-    return out if otherwise is None else F.coalesce(out, fallback)
+    """Infinity and NaN to null; with a value, these and null to the value.
+
+    x + 0 x is x when finite and NaN when not: one sum instead of branches that repeat the expression.
+    """
+    c = as_col(c).cast("double")
+    probe = c + c * F.lit(0.0)
+    if otherwise is None:
+        return F.nullif(probe, F.lit(float("nan")))
+    return F.coalesce(F.nanvl(probe, F.lit(float(otherwise))), F.lit(float(otherwise)))
 
 
-def finite_frame(df: DataFrame, otherwise: float | None = None) -> DataFrame:
-    """`finite` over every floating column."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+def finite_frame(df: DataFrame, otherwise: float | None = None, known: Collection[str] = ()) -> DataFrame:
+    """`finite` over every floating column but those known to be finite."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in known]
     return df.withColumns({name: finite(name, otherwise) for name in floats}) if floats else df
 
 
 def safe_divide(numerator: str | Column, denominator: str | Column) -> Column:
     """Zero where the denominator is (almost) zero or the quotient is not finite."""
     n, d = as_col(numerator).cast("double"), as_col(denominator).cast("double")
-    quotient = F.try_divide(n, d)
-    usable = (F.abs(d) > F.lit(EPSILON)) & ~F.isnan(quotient) & ~is_inf(quotient)
-    return F.when(usable, quotient).otherwise(F.lit(0.0))
+    return finite(F.when(F.abs(d) > F.lit(EPSILON), n / d), 0.0)
 
 
 def column_key(c: str | Column) -> Column:
@@ -98,19 +102,28 @@ def quantized(c: str | Column, digits: int = 6) -> Column:
     return F.round(as_col(c), digits)
 
 
-def fixed_text(c: str | Column, digits: int) -> Column:
-    """Non-negative number below 128 as text with fixed decimals, rounding the exact binary value half to even.
+def with_fixed_text(df: DataFrame, **texts: tuple[str, int]) -> DataFrame:
+    """Adds columns with a number below 128 as text of fixed decimals: `name=(number column, decimals)`.
 
-    `format_string` rounds the shortest decimal text half up, which differs on values such as 40.625.
+    The exact binary value is rounded half to even. `format_string` rounds the shortest decimal text half up,
+    which differs on values such as 40.625. The steps are separate projections, so that nothing is computed
+    twice; products are taken in two limbs of 28 bits, so that none overflows.
     """
-    unit, low_bits = 10**digits, 2**28 - 1
-    scaled = (as_col(c) * F.lit(2.0**56)).cast("bigint")
-    # scaled * unit in two limbs of 28 bits, so that no product overflows
-    small = scaled.bitwiseAND(F.lit(low_bits)) * unit
-    large = F.shiftright(scaled, 28) * unit + F.shiftright(small, 28)
-    whole = F.shiftright(large, 28)
-    rest = F.shiftleft(large.bitwiseAND(F.lit(low_bits)), 28) + small.bitwiseAND(F.lit(low_bits))
+    low = F.lit(2**28 - 1)
+    at = {f"_{name}": (c, d) for name, (c, d) in texts.items()}
+    out = df.withColumns({f"{n}_s": (F.col(c) * F.lit(2.0**56)).cast("bigint") for n, (c, _) in at.items()})
+    out = out.withColumns({f"{n}_l": F.col(f"{n}_s").bitwiseAND(low) * 10**d for n, (_, d) in at.items()})
+    out = out.withColumns({
+        f"{n}_h": F.shiftright(f"{n}_s", 28) * 10**d + F.shiftright(f"{n}_l", 28) for n, (_, d) in at.items()})
+    out = out.withColumns({
+        f"{n}_r": F.shiftleft(F.col(f"{n}_h").bitwiseAND(low), 28) + F.col(f"{n}_l").bitwiseAND(low) for n in at})
     half = F.lit(2**55)
-    up = (rest > half) | ((rest == half) & (whole.bitwiseAND(F.lit(1)) == 1))
-    q = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    return F.concat(F.floor(q / unit).cast("string"), F.lit("."), F.lpad((q % unit).cast("string"), digits, "0"))
+    # half to even: an odd quotient rounds up on the half, an even one only beyond it
+    out = out.withColumns({
+        f"{n}_q": F.shiftright(f"{n}_h", 28) + (F.col(f"{n}_r") + F.shiftright(f"{n}_h", 28).bitwiseAND(F.lit(1)) > half).cast("bigint")
+        for n in at})
+    made = {
+        name: F.concat(F.expr(f"cast(_{name}_q div {10**d} as string)"), F.lit("."),
+                       F.lpad(F.expr(f"cast(_{name}_q % {10**d} as string)"), d, "0"))
+        for name, (_, d) in texts.items()}
+    return out.withColumns(made).select(*df.columns, *texts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.local import local_table
 from flowlens.functions import vocab
-from flowlens.functions.columns import fixed_text, require_columns
+from flowlens.functions.columns import require_columns, with_fixed_text
 
 NEEDED = ("stream_order", "event_time_utc", "binary_attack_probability",
           "predicted_multiclass_label_name", "multiclass_confidence")
@@ -68,15 +68,16 @@ def add_level(scored: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
 def add_messages(scored: DataFrame) -> DataFrame:
     """Alert id and text. The two text formats and the text for normal rows."""
     normal = F.col("alert_level") == "Normal"
-    alert_id = F.format_string("SNT-%s-%08d", F.upper("alert_level"), F.col("stream_order"))
-    message = F.format_string(
-        "%s alert for %s | risk=%s | binary_attack_probability=%s",
-        F.col("alert_level"), F.col("predicted_multiclass_label_name"),
-        fixed_text("risk_score", 2), fixed_text("binary_attack_probability", 4),
-    )
-    return scored.withColumn("alert_id", F.when(normal, "").otherwise(alert_id)).withColumn(
+    number = F.col("stream_order").cast("string")
+    padded = F.when(F.length(number) < 8, F.lpad(number, 8, "0")).otherwise(number)
+    alert_id = F.concat(F.lit("SNT-"), F.upper("alert_level"), F.lit("-"), padded)
+    message = F.concat(
+        "alert_level", F.lit(" alert for "), "predicted_multiclass_label_name", F.lit(" | risk="), "_risk",
+        F.lit(" | binary_attack_probability="), "_probability")
+    texts = with_fixed_text(scored, _risk=("risk_score", 2), _probability=("binary_attack_probability", 4))
+    return texts.withColumn("alert_id", F.when(normal, "").otherwise(alert_id)).withColumn(
         "alert_message", F.when(normal, "Normal traffic confidence within acceptable range.").otherwise(message)
-    )
+    ).drop("_risk", "_probability")
 
 
 # Action texts.

@@ -27,6 +27,7 @@ STATISTICAL = (
     "packet_length_range", "flow_iat_cv", "packet_length_cv", "header_payload_ratio", "forward_payload_efficiency",
     "idle_active_ratio", "burstiness_score", "segment_size_asymmetry", "ack_push_ratio", "payload_density",
 )
+SUMS = ("total_packets", "total_bytes", "packet_length_range")
 FLAG_RATIOS = ("syn_ratio", "connection_failure_score", "connection_reset_ratio")
 
 
@@ -151,7 +152,8 @@ def engineer(df: DataFrame, windows: Sequence[int] = WINDOWS, block_rows: int =
     """All features of a flow table; what is not finite becomes zero."""
     require_columns(df, NEEDED, "the flow table")
     out = add_flag_ratios(add_statistics(df))
-    return finite_frame(add_rolling(out, windows, block_rows=block_rows), 0.0)
+    quotients = [c for c in (*STATISTICAL, *FLAG_RATIOS) if c not in SUMS]
+    return finite_frame(add_rolling(out, windows, block_rows=block_rows), 0.0, quotients)
 
 
 def sequences(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import flowlens.plans.q_ingest  # noqa: F401  its SQL texts are used below
 from pyspark.sql import functions as F
 
 from flowlens.functions import vocab

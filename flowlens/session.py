@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The JVM compiles no method beyond 8000 bytes of bytecode. A wide projection fused into one larger method
+# runs interpreted; below the limit Spark splits it instead.
+JIT_LIMIT = "8000"
 
 
 def build_session(master: str | None = None, app_name: str = "flowlens", **conf: str) -> SparkSession:
@@ -20,6 +22,7 @@ def build_session(master: str | None = None, app_name: str = "flowlens", **conf:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
     )
     if master:
         builder = builder.master(master)
@@ -28,10 +31,12 @@ def build_session(master: str | None = None, app_name: str = "flowlens", **conf:
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Timestamps are read and printed in UTC by every operator."""
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the operators rely on, also in a session made elsewhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") != JIT_LIMIT:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.session import use_utc
+from flowlens.session import prepare
 
 FLOWS = """
 select event_id as row_id,
@@ -106,7 +106,7 @@ TEXTS = {"flows": FLOWS, "flows_raw": FLOWS_RAW, "preds": PREDS, "anom": ANOM, "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
