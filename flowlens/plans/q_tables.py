@@ -528,11 +528,11 @@ def m15(spark, sf_dir):
     return explain.top_contributions(contributions(spark, sf_dir), PARTS, ("stream_order", "true_binary_label"), 4)
 
 
-@query("Q21_top_summary_table", oracle("contributions", f"select * from ({SUMMARY_SQL}) order by mean_abs_contribution desc limit 3"))
+@query("Q21_top_summary_table", oracle("contributions", f"select * from ({SUMMARY_SQL}) order by mean_abs_contribution desc limit 2"))
 def q21(spark, sf_dir):
     from flowlens.operators import views
 
-    return rounded_summary(views.top_summary(explain.global_summary(contributions(spark, sf_dir), PARTS), 3))
+    return rounded_summary(views.top_summary(explain.global_summary(contributions(spark, sf_dir), PARTS), 2))
 
 
 @query("Q21_sorted_metrics", oracle("component_metrics", """
