@@ -126,4 +126,4 @@ def with_fixed_text(df: DataFrame, **texts: tuple[str, int]) -> DataFrame:
         name: F.concat(F.expr(f"cast(_{name}_q div {10**d} as string)"), F.lit("."),
                        F.lpad(F.expr(f"cast(_{name}_q % {10**d} as string)"), d, "0"))
         for name, (_, d) in texts.items()}
-    return out.withColumns(made).select(*df.columns, *texts)
+    return out.withColumns(made).drop(*[f"{n}_{step}" for n in at for step in "slhrq"])

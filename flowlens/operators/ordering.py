@@ -24,7 +24,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
 
 
 def with_block(df: DataFrame, order_col: str, block_rows: int) -> DataFrame:
-    return df.withColumn("_blk", F.expr(f"cast(floor({order_col} / {int(block_rows)}) as bigint)"))
+    return df.withColumn("_blk", F.expr(f"cast({order_col} as bigint) div {int(block_rows)}"))
 
 
 def running_sums(
@@ -36,20 +36,14 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums per key in the order of a unique integer column."""
     names = list(sums)
-    blocked = with_block(df, order_col, block_rows)
-    totals = blocked.groupBy(*keys, "_blk").agg(*[F.sum(sums[n]).alias(f"_t_{n}") for n in names])
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # a struct is never null, so rows without a key meet too, and join and window share one shuffle
+    blocked = with_block(df, order_col, block_rows).withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+    totals = blocked.groupBy("_key", "_blk").agg(*[F.sum(sums[n]).alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_blk").alias("_k_blk"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
-    )
-    match = F.col("_blk") == F.col("_k_blk")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.join(offsets, match)
-    return out.select(
+        "_key", "_blk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+    inside = Window.partitionBy("_key", "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(offsets, ["_key", "_blk"]).select(
         *df.columns,
         *[(F.col(f"_o_{n}") + F.coalesce(F.sum(sums[n]).over(inside), F.lit(0))).alias(n) for n in names],
     )

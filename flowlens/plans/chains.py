@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import alerts, cleaning, drift, features, labels, respond, schema, selection, splits, views
+from flowlens.session import cut_lineage
 from flowlens.sources import csv_files
 
 
@@ -63,7 +64,8 @@ def respond_to(
     rules: respond.ResponseRules = respond.ResponseRules(),
 ) -> dict[str, DataFrame]:
     """Classified rows, zero-day rows, blocks, review queue, drift and retraining recommendation."""
-    classified = respond.respond(respond.align(scored, flows, anomalies), rules)
+    # read by every output below, so computed once
+    classified = cut_lineage(respond.respond(respond.align(scored, flows, anomalies), rules))
     queue = respond.review_queue(classified, rules.queue_size)
     shifted = drift.drift(drift.feature_stats(reference, drift_features, "reference"),
                           drift.feature_stats(flows, drift_features, "stream"))

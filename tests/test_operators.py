@@ -138,6 +138,12 @@ def test_running_sums_over_blocks(spark):
     assert got == want
 
 
+def test_running_sums_without_a_key(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(100)], "o bigint, k string")
+    got = {r["o"]: r["n"] for r in ordering.dense_index(df, ["k"], "o", "n", 10).collect()}
+    assert got == {i: i // 2 + 1 for i in range(100)}
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(5)
     data = np.concatenate([np.full(400, 3.0), rng.normal(size=601)])
