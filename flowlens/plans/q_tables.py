@@ -555,15 +555,15 @@ def voters(spark, sf_dir):
 
 
 @query("M16_voting_binary", oracle("voters", f"""
-select stream_order, {', '.join(f"round({max(w, 0.0)}e0 * ({c} - {BACKGROUND.format(f'avg({c})')}), 6) as contribution_{c}" for c, w in VOTERS.items())},
-  round({' + '.join(f"{w}e0 * {BACKGROUND.format(f'avg({c})')}" for c, w in VOTERS.items() if w > 0)}, 6) as base_value,
-  round({' + '.join(f"{w}e0 * {c}" for c, w in VOTERS.items() if w > 0)}, 6) as explained_value
+select stream_order, {', '.join(f"round({max(w, 0.0)}e0 * ({c} - {BACKGROUND.format(f'avg({c})')}), 9) as contribution_{c}" for c, w in VOTERS.items())},
+  round({' + '.join(f"{w}e0 * {BACKGROUND.format(f'avg({c})')}" for c, w in VOTERS.items() if w > 0)}, 9) as base_value,
+  round({' + '.join(f"{w}e0 * {c}" for c, w in VOTERS.items() if w > 0)}, 9) as explained_value
 from voters"""))
 def m16(spark, sf_dir):
     df = voters(spark, sf_dir)
     out = explain.voting_binary(df, df.where("true_binary_label = 0"), list(VOTERS), VOTERS)
     names = [*[f"contribution_{c}" for c in VOTERS], "base_value", "explained_value"]
-    return out.select("stream_order", *[(quantized(c) + 0.0).alias(c) for c in names])
+    return out.select("stream_order", *[(quantized(c, 9) + 0.0).alias(c) for c in names])
 
 
 @query("M16_voting_multiclass", oracle("comps weighted", f"""
@@ -586,15 +586,15 @@ INTERCEPT = -1.5
 
 
 @query("M17_stacking_binary", oracle("voters", f"""
-select stream_order, {', '.join(f"round({w}e0 * ({c} - {BACKGROUND.format(f'avg({c})')}), 6) as contribution_{c}" for c, w in COEF.items())},
-  round({INTERCEPT}e0 + {' + '.join(f"{w}e0 * {BACKGROUND.format(f'avg({c})')}" for c, w in COEF.items())}, 6) as base_value,
-  round({INTERCEPT}e0 + {' + '.join(f"{w}e0 * {c}" for c, w in COEF.items())}, 6) as explained_value
+select stream_order, {', '.join(f"round({w}e0 * ({c} - {BACKGROUND.format(f'avg({c})')}), 9) as contribution_{c}" for c, w in COEF.items())},
+  round({INTERCEPT}e0 + {' + '.join(f"{w}e0 * {BACKGROUND.format(f'avg({c})')}" for c, w in COEF.items())}, 9) as base_value,
+  round({INTERCEPT}e0 + {' + '.join(f"{w}e0 * {c}" for c, w in COEF.items())}, 9) as explained_value
 from voters"""))
 def m17(spark, sf_dir):
     df = voters(spark, sf_dir)
     out = explain.stacking_binary(df, df.where("true_binary_label = 0"), list(COEF), list(COEF.values()), INTERCEPT)
     names = [*[f"contribution_{c}" for c in COEF], "base_value", "explained_value"]
-    return out.select("stream_order", *[quantized(c).alias(c) for c in names])
+    return out.select("stream_order", *[quantized(c, 9).alias(c) for c in names])
 
 
 STACK_INPUTS = [f"{c}k{k}" for c in ("c0", "c1") for k in range(5)] + ["extra"]
