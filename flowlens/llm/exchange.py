@@ -6,6 +6,7 @@ instead of a row per number. A shard is a value of the `shard` column; Spark shu
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,16 +96,19 @@ def give_rest(df: DataFrame, *made: str) -> DataFrame:
     return df.select("*", *[F.col("_rest").getField(c).alias(c) for c in others]).drop("_rest")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: later steps read it from there, also after an executor is lost.
+def staged(make, name: str, spark: SparkSession) -> DataFrame:
+    """What `make()` returns, written to the shared folder and read again: later steps read it from there, also after an
+    executor is lost.
 
-    Shuffle files of the steps behind it are no longer needed; the collection request lets Spark delete them now.
+    `make` builds the frame inside, so nothing refers to its plan afterwards and Spark can delete the shuffle files behind
+    it; the collection request lets it do so now rather than when the driver's heap fills.
     """
-    spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df = make()
     schema = df.schema
-    del df
+    df.write.parquet(path)
+    del df, make
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 

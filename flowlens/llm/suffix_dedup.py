@@ -302,26 +302,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     """
     spark = docs.sparkSession
     shards = shard_count(spark)
-    answer = "doc binary, run binary, kind binary"
+    answer = "shard int, doc binary, run binary, kind binary"
     per_document = "_id long, _whole binary, _parts binary"
-    runs = docs.select("doc_id", "text").mapInArrow(
-        lambda it: _first_pass(it, shards, length, seed), packed_schema("seed", "low", "doc") + ", answered byte")
-    answers = runs.groupBy("shard").applyInArrow(lambda t: _match_shard(t, shards), f"shard int, {answer}")
-    answers = answers.groupBy("shard").applyInArrow(_per_document, per_document)
-    answers = staged(answers, "repeat-answers")
-
     kept = keep_rest(docs, "doc_id", "text")
-    joined = kept.join(answers, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     rest = kept.schema["_rest"].dataType.simpleString()
     made = f"doc_id long, _rest {rest}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    half = joined.mapInArrow(lambda it: _second_pass(it, length, seed, with_text), f"{made}, _spans binary, _todo binary")
-    half = staged(half, "repeat-half")
 
+    def answers():
+        runs = docs.select("doc_id", "text").mapInArrow(
+            lambda it: _first_pass(it, shards, length, seed), packed_schema("seed", "low", "doc") + ", answered byte")
+        found = runs.groupBy("shard").applyInArrow(lambda t: _match_shard(t, shards), answer)
+        return found.groupBy("shard").applyInArrow(_per_document, per_document)
+
+    answered = staged(answers, "repeat-answers", spark)
+
+    def settled():
+        joined = kept.join(answered, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        return joined.mapInArrow(
+            lambda it: _second_pass(it, length, seed, with_text), f"{made}, _spans binary, _todo binary")
+
+    half = staged(settled, "repeat-half", spark)
     pending = half.where("_todo is not null")
-    strings = pending.select("doc_id", "text", "_todo").mapInArrow(
-        lambda it: _string_pass(it, shards, length), packed_schema("key", "doc") + ", answered byte")
-    found = strings.groupBy("shard").applyInArrow(lambda t: _match_strings(t, shards), f"shard int, {answer}")
-    found = found.groupBy("shard").applyInArrow(_per_document, per_document)
+
+    def compared():
+        strings = pending.select("doc_id", "text", "_todo").mapInArrow(
+            lambda it: _string_pass(it, shards, length), packed_schema("key", "doc") + ", answered byte")
+        found = strings.groupBy("shard").applyInArrow(lambda t: _match_strings(t, shards), answer)
+        return found.groupBy("shard").applyInArrow(_per_document, per_document)
+
+    found = staged(compared, "repeat-strings", spark)
     last = pending.select("doc_id", "text", "_rest", "_spans", "_todo").join(found, F.col("doc_id") == F.col("_id"), "left")
     last = last.mapInArrow(lambda it: _last_pass(it, length, with_text), made)
     done = half.where("_todo is null").drop("_spans", "_todo")
