@@ -30,3 +30,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(documents(spark, sf_dir, "doc_id", "text"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.jaccard_join import join_components
+
+    return join_components(documents(spark, sf_dir, "doc_id", "text"))
