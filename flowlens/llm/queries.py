@@ -37,3 +37,98 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.jaccard_join import join_components
 
     return join_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP4_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '{WORD}'), []) as ws from documents),
+base as (
+  select doc_id, len(ws) as n_words, coalesce(list_sum([length(x) for x in ws]), 0)::bigint as word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols
+  from d),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
+dup_lines as (
+  select doc_id, sum(n - 1)::bigint as n_dup_lines
+  from (select doc_id, line, count(*) as n from lines where regexp_matches(line, '{WORD}') group by 1, 2) group by 1),
+places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d),
+grams as (
+  select doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') as g
+  from places cross join (values (5), (10), (101)) as v(n) where i + n - 1 <= len(ws)),
+twice as (select doc_id, n, i from grams qualify count(*) over (partition by doc_id, n, g) > 1),
+cover as (
+  select doc_id, n, count(distinct i + k) as words
+  from twice, lateral (select unnest(range(0, n)) as k) group by 1, 2)
+select b.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(c5.words, 0) as n_repeat_words,
+  n_words < 10 or 100 * coalesce(c5.words, 0) > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * coalesce(c5.words, 0) > 20 * n_words)
+    and 100 * coalesce(c10.words, 0) <= 15 * n_words and c101.words is null as kept
+from base b left join dup_lines using (doc_id)
+  left join cover c5 on c5.doc_id = b.doc_id and c5.n = 5
+  left join cover c10 on c10.doc_id = b.doc_id and c10.n = 10
+  left join cover c101 on c101.doc_id = b.doc_id and c101.n = 101
+"""
+
+
+@query("op4_quality_rules", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.quality import score
+
+    return score(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
+
+
+OP9_SQL = rf"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
+per as (select source, sum(size)::bigint as source_size from sized group by source),
+named as (
+  select *, [1, 2, 3][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
+    source_size * 3 as lim, sum(source_size) over () as total from per),
+levels as (
+  select *, total - coalesce(sum(lim) over (o rows between unbounded preceding and 1 preceding), 0) as rest,
+    sum(weight) over (o rows between current row and unbounded following) as against
+  from named window o as (order by lim / weight::double, source nulls last)),
+targets as (
+  select *, case when rest * weight >= lim * against then lim::double
+      else weight * (min(rest) filter (rest * weight < lim * against) over ())::double
+        / (max(against) filter (rest * weight < lim * against) over ())::double end as target
+  from levels),
+rates as (
+  select source, source_size, target, floor(case when source_size > 0 then target / source_size else 0 end) as whole,
+    case when source_size > 0 then target / source_size else 0 end as rate from targets),
+ranked as (
+  select s.doc_id, s.size, r.*, rate - whole as chance, target - whole * source_size as wanted,
+    (('0x' || substr(md5(s.doc_id::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496 as u
+  from sized s join rates r on s.source is not distinct from r.source),
+placed as (
+  select *, case when chance > 0 then (u / (1 - u)) / (chance / (1 - chance)) end as rank from ranked),
+summed as (
+  select *, sum(size) over (partition by source order by rank, doc_id rows between unbounded preceding and current row) as so_far
+  from placed)
+select doc_id, size, source_size, target,
+  (size * (whole + case when rank is not null and so_far - size / 2.0 <= wanted then 1 else 0 end))::bigint as taken
+from summed
+"""
+
+
+@query("op9_mixing_sources", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir, "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken")
