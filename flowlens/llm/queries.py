@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.sources.bindings import table
 
@@ -132,3 +132,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return mix(documents(spark, sf_dir, "doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import toxicity
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labelled = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(docs.join(labelled, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
