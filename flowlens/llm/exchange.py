@@ -7,6 +7,7 @@ instead of a row per number. A shard is a value of the `shard` column; Spark shu
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flowlens.llm.kernels import mix
 from flowlens.session import cut_lineage, staging_path
 
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 2
 FLUSH_ROWS = 4_000_000
 
 
@@ -25,6 +26,11 @@ def shard_count(spark: SparkSession) -> int:
     return SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def reply_count(spark: SparkSession) -> int:
+    """Shards of answers: every shard may answer every one of these, so they are no more than needed."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
 
@@ -108,8 +114,10 @@ def staged(make, name: str, spark: SparkSession) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df, make
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection may meet the finished query in the hands of Spark's listeners
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(schema).parquet(path)
 
 

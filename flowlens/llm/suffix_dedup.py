@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
 from flowlens.llm.exchange import (
-    Collector, doc_shard, give_rest, keep_rest, pack, packed_schema, shard_count, shard_of, staged, unpack)
+    Collector, doc_shard, give_rest, keep_rest, pack, packed_schema, reply_count, shard_count, shard_of, staged, unpack)
 
 LENGTH = 50
 SEED = 24
@@ -147,12 +147,12 @@ def _first_pass(batches, shards, length, seed):
 ANSWER = pa.schema([("shard", pa.int32()), ("doc", pa.binary()), ("run", pa.binary()), ("kind", pa.binary())])
 
 
-def _answers(docs, runs, kind, shards) -> pa.Table:
-    batch = pack(doc_shard(docs, shards), shards, {"doc": docs, "run": runs, "kind": kind})
+def _answers(docs, runs, kind, replies) -> pa.Table:
+    batch = pack(doc_shard(docs, replies), replies, {"doc": docs, "run": runs, "kind": kind})
     return pa.Table.from_batches([batch] if batch is not None else [], ANSWER)
 
 
-def _match_shard(table: pa.Table, shards: int) -> pa.Table:
+def _match_shard(table: pa.Table, replies: int) -> pa.Table:
     """Answers of one shard, packed by the shard of the document: repeated runs (1) and runs to compare string by string (0)."""
     family = Levels()
     for seed, low, doc, answered in zip(*(table[c].to_pylist() for c in ("seed", "low", "doc", "answered")), strict=True):
@@ -172,7 +172,7 @@ def _match_shard(table: pa.Table, shards: int) -> pa.Table:
     runs = np.concatenate([run_hash(seed[several], low[several]), *[r for _, r in family.later]]).astype(np.uint64)
     kind = np.ones(len(docs), np.int8)
     kind[:int(several.sum())] = 0
-    return _answers(docs, runs, kind, shards)
+    return _answers(docs, runs, kind, replies)
 
 
 def _per_document(table: pa.Table) -> pa.Table:
@@ -263,7 +263,7 @@ def _string_pass(batches, shards, length):
     yield from out.flush()
 
 
-def _match_strings(table: pa.Table, shards: int):
+def _match_strings(table: pa.Table, replies: int) -> pa.Table:
     key, doc = unpack(table["key"], np.uint64), unpack(table["doc"], np.int64)
     counts = np.array([len(k) // 8 for k in table["key"].to_pylist()])
     answered = np.repeat(np.array(table["answered"].to_pylist(), bool), counts)
@@ -274,7 +274,7 @@ def _match_strings(table: pa.Table, shards: int):
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
         later = answered | (doc != first)
-    return _answers(doc[later], key[later], np.ones(int(later.sum()), np.int8), shards)
+    return _answers(doc[later], key[later], np.ones(int(later.sum()), np.int8), replies)
 
 
 def _last_pass(batches, length, with_text):
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     `with_text` it is null, for those who want the numbers only.
     """
     spark = docs.sparkSession
-    shards = shard_count(spark)
+    shards, replies = shard_count(spark), reply_count(spark)
     answer = "shard int, doc binary, run binary, kind binary"
     per_document = "_id long, _whole binary, _parts binary"
     kept = keep_rest(docs, "doc_id", "text")
@@ -311,13 +311,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     def answers():
         runs = docs.select("doc_id", "text").mapInArrow(
             lambda it: _first_pass(it, shards, length, seed), packed_schema("seed", "low", "doc") + ", answered byte")
-        found = runs.groupBy("shard").applyInArrow(lambda t: _match_shard(t, shards), answer)
+        found = runs.groupBy("shard").applyInArrow(lambda t: _match_shard(t, replies), answer)
         return found.groupBy("shard").applyInArrow(_per_document, per_document)
 
     answered = staged(answers, "repeat-answers", spark)
 
     def settled():
-        joined = kept.join(answered, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        joined = kept.join(answered.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
         return joined.mapInArrow(
             lambda it: _second_pass(it, length, seed, with_text), f"{made}, _spans binary, _todo binary")
 
@@ -327,11 +327,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
     def compared():
         strings = pending.select("doc_id", "text", "_todo").mapInArrow(
             lambda it: _string_pass(it, shards, length), packed_schema("key", "doc") + ", answered byte")
-        found = strings.groupBy("shard").applyInArrow(lambda t: _match_strings(t, shards), answer)
+        found = strings.groupBy("shard").applyInArrow(lambda t: _match_strings(t, replies), answer)
         return found.groupBy("shard").applyInArrow(_per_document, per_document)
 
     found = staged(compared, "repeat-strings", spark)
-    last = pending.select("doc_id", "text", "_rest", "_spans", "_todo").join(found, F.col("doc_id") == F.col("_id"), "left")
+    last = pending.select("doc_id", "text", "_rest", "_spans", "_todo").join(found.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     last = last.mapInArrow(lambda it: _last_pass(it, length, with_text), made)
     done = half.where("_todo is null").drop("_spans", "_todo")
     return give_rest(done.unionByName(last), "text", *MADE)
