@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
 from flowlens.llm.exchange import (
-    Collector, components, doc_shard, pack, packed_schema, shard_count, shard_of, staged, unpack)
+    Collector, components, doc_shard, pack, packed_schema, reply_count, shard_count, shard_of, staged, unpack)
 
 WORDS_EACH = 5
-SHORT_LIST = 16
+SHORT_LIST = 2
 
 
 def shingle_sets(column: pa.Array, words_each: int):
@@ -119,7 +119,7 @@ def _by_kind(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.array([k == kind for k in table["kind"].to_pylist()], pa.bool_()))
 
 
-def _count_shard(table: pa.Table, shards: int) -> pa.Table:
+def _count_shard(table: pa.Table, replies: int) -> pa.Table:
     """Per document the number of its tokens in this shard that another document has too; sizes pass through."""
     own = _by_kind(table, 0)
     token, doc = unpack(own["token"], np.uint32), unpack(own["doc"], np.int64)
@@ -129,11 +129,11 @@ def _count_shard(table: pa.Table, shards: int) -> pa.Table:
     at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = at[_same_as_neighbour(order >> np.uint64(32))]
     docs, counts = np.unique(doc[at[at < len(token)]], return_counts=True)
-    out = [_kind(pack(doc_shard(docs, shards), shards, {"doc": docs, "n": counts.astype(np.uint32)}), 3)]
+    out = [_kind(pack(doc_shard(docs, replies), replies, {"doc": docs, "n": counts.astype(np.uint32)}), 3)]
     for kind in (2, 3):
         part = _by_kind(table, kind)
         docs, n = unpack(part["doc"], np.int64), unpack(part["token"], np.uint32)
-        out.append(_kind(pack(doc_shard(docs, shards), shards, {"doc": docs, "n": n}), kind))
+        out.append(_kind(pack(doc_shard(docs, replies), replies, {"doc": docs, "n": n}), kind))
     return pa.Table.from_batches([b for b in out if b is not None], COUNTS)
 
 
@@ -173,7 +173,7 @@ def _list_pass(batches, shards: int):
     yield from out.flush()
 
 
-def _lengths(table: pa.Table, shards: int) -> pa.Table:
+def _lengths(table: pa.Table, replies: int) -> pa.Table:
     """Lists of two or more, sent back to the documents with their length."""
     key, doc, n = unpack(table["key"], np.uint64), unpack(table["doc"], np.int64), unpack(table["n"], np.uint32)
     order = np.argsort(key, kind="stable")
@@ -181,7 +181,7 @@ def _lengths(table: pa.Table, shards: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     length = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
     some = length > 1
-    batch = pack(doc_shard(doc[some], shards), shards, {
+    batch = pack(doc_shard(doc[some], replies), replies, {
         "key": key[some], "doc": doc[some], "n": n[some], "length": length[some].astype(np.uint32)})
     schema = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("key", "doc", "n", "length")]])
     return pa.Table.from_batches([batch] if batch is not None else [], schema)
@@ -296,18 +296,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_EACH, short_list: int = SHORT_LIST) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for every row of `docs`."""
     spark = docs.sparkSession
-    shards = shard_count(spark)
+    shards, replies = shard_count(spark), reply_count(spark)
     texts = docs.select("doc_id", "text")
 
     def counted():
         tokens = texts.mapInArrow(lambda it: _count_pass(it, shards, words_each), packed_schema("token", "doc") + ", kind byte")
         shared = tokens.groupBy("shard").applyInArrow(
-            lambda t: _count_shard(t, shards), "shard int, doc binary, n binary, kind byte")
+            lambda t: _count_shard(t, replies), "shard int, doc binary, n binary, kind byte")
         return shared.groupBy("shard").applyInArrow(_count_documents, "_id long, n_shingles long, shared long")
 
     counts = staged(counted, "shingle-counts", spark)
     open_ = counts.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("_id")
-    sets = staged(lambda: texts.join(open_, F.col("doc_id") == F.col("_id")).select("doc_id", "text").mapInArrow(
+    sets = staged(lambda: texts.join(open_.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text").mapInArrow(
         lambda it: _set_pass(it, words_each), "doc_id long, n long, s1 long, s2 long, tokens binary"), "shingle-sets", spark)
 
     def members():
@@ -317,12 +317,12 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
             "doc_id", F.col("m.rep").alias("rep"))
 
     member = staged(members, "shingle-members", spark)
-    reps = staged(lambda: sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id").groupBy("doc_id").agg(
+    reps = staged(lambda: sets.join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id").groupBy("doc_id").agg(
         F.max(F.struct("n", "tokens")).alias("m")).select("doc_id", "m.n", "m.tokens"), "shingle-representatives", spark)
 
     def merge():
         lists = reps.mapInArrow(lambda it: _list_pass(it, shards), packed_schema("key", "doc", "n"))
-        lists = lists.groupBy("shard").applyInArrow(lambda t: _lengths(t, shards), packed_schema("key", "doc", "n", "length"))
+        lists = lists.groupBy("shard").applyInArrow(lambda t: _lengths(t, replies), packed_schema("key", "doc", "n", "length"))
         lists = lists.groupBy("shard").applyInArrow(
             lambda t: _shortest(t, shards, percent), packed_schema("key", "doc", "n", "place", "early"))
         return lists.groupBy("shard").applyInArrow(lambda t: _merge_lists(t, percent, short_list), PAIRS)
