@@ -9,8 +9,10 @@ partner then occurs at least once on the n - T + 1 shortest, which are merged. S
 2. The rest is folded by equal sets; one representative per set goes on, with its shingles ordered by list length.
 3. The shortest lists are merged. A list passes on a pair only if enough shingles are left behind it on both sides and
    the sizes fit. Lists up to `short_list` pass on all such pairs.
-4. Longer lists (large groups of near copies, common passages) first link their members to one leader per list; after
-   these links are verified, only pairs whose sides are not yet connected are passed on, so a group is never expanded into all its pairs.
+4. Longer lists (large groups of near copies, common passages) first link their members to one leader per list, the one with
+   the fewest rare shingles. After these links are verified, only pairs whose sides are not yet connected are passed on, and
+   of these only pairs that can link by their parity sketches: the bits in which two sketches differ are no more than the
+   shingles in which the sets differ. So a group is never expanded into all its pairs, and no link between components is lost.
 5. Every pair is verified: all shingles of the smaller set are probed by binary search in the larger set.
 
 Links are exact up to collisions of 64-bit hashes. Components are joined with `components`.
@@ -32,6 +34,7 @@ from flowlens.llm.exchange import (
 
 WORDS_EACH = 5
 SHORT_LIST = 2
+SKETCH_BITS = 512
 
 
 def shingle_sets(column: pa.Array, words_each: int):
@@ -222,7 +225,7 @@ def _merge_lists(table: pa.Table, percent: int, short_list: int) -> pa.Table:
     key, doc = unpack(table["key"], np.uint64), unpack(table["doc"], np.int64)
     n, place = (unpack(table[c], np.uint32).astype(np.int64) for c in ("n", "place"))
     early = unpack(table["early"], np.uint8).astype(bool)
-    order = np.lexsort((K.mix(doc.view(np.uint64)), key))
+    order = np.lexsort((K.mix(doc.view(np.uint64)), place, key))  # the leader stands first
     key, doc, n, place, early = (c[order] for c in (key, doc, n, place, early))
     left = n - place
     if not len(key):
@@ -254,23 +257,39 @@ def _merge_lists(table: pa.Table, percent: int, short_list: int) -> pa.Table:
         "place": np.concatenate([zero, place[long_]]).astype(np.int32)}, PAIR_SCHEMA)
 
 
+def _sketches(batches):
+    """512 bits per set: whether an even or odd number of its tokens falls on the bit."""
+    for batch in batches:
+        made = []
+        for tokens in batch.column("tokens").to_pylist():
+            bit = (K.mix(np.frombuffer(tokens, np.uint64)) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+            made.append(np.packbits(np.bincount(bit, minlength=SKETCH_BITS) & 1).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["_id", "sketch"])
+
+
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of long lists whose sides are in different components so far."""
+    """Pairs of long lists whose sides are in different components so far and whose sketches do not rule a link out."""
     key, doc, part, n, place = (table[c].to_numpy() for c in ("key", "a", "component", "n", "place"))
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(doc), -1)
     n, left = n.astype(np.int64), n.astype(np.int64) - place
     order = np.argsort(key, kind="stable")
-    out: set[tuple[int, int]] = set()
+    found = [np.zeros((2, 0), np.int64)]
     edges = np.flatnonzero(np.diff(key[order])) + 1
     for group in np.split(order, edges) if len(order) else []:
         parts, inverse, many = np.unique(part[group], return_inverse=True, return_counts=True)
         if len(parts) == 1:
             continue
-        for i in np.flatnonzero(inverse != np.argmax(many)):  # every pair has a side outside the largest component
-            g = group[i]
-            other = group[(inverse != inverse[i]) & _possible(n[g], left[g], n[group], left[group], percent)]
-            out.update((min(int(doc[g]), x), max(int(doc[g]), x)) for x in doc[other].tolist())
-    rows = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return pa.table({"a": rows[:, 0], "b": rows[:, 1]})
+        outer = inverse != np.argmax(many)  # every pair has a side outside the largest component
+        for i in np.flatnonzero(outer):
+            one = group[i]
+            # of two sides that are both outside, the later meets the earlier
+            other = group[(inverse != inverse[i]) & (~outer | (np.arange(len(group)) < i))]
+            other = other[_possible(n[one], left[one], n[other], left[other], percent)]
+            differ = np.bitwise_count(sketch[other] ^ sketch[one]).sum(axis=1, dtype=np.int64)
+            other = doc[other[(100 + percent) * differ <= (100 - percent) * (n[one] + n[other])]]
+            found.append(np.stack([np.minimum(doc[one], other), np.maximum(doc[one], other)]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
 def _probe(batches, percent: int):
@@ -332,14 +351,16 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
 
     def crossing():
         near = components(links).withColumnRenamed("node", "a")
-        long_ = merged.where("kind = 1").select("key", "a", "n", "place").join(near, "a", "left").withColumn(
-            "component", F.coalesce("component", "a"))
+        sketches = reps.select("doc_id", "tokens").mapInArrow(_sketches, "_id long, sketch binary")
+        long_ = merged.where("kind = 1").select("key", "a", "n", "place").join(near, "a", "left").join(
+            sketches, F.col("a") == F.col("_id")).select(
+            "key", "a", "n", "place", F.coalesce("component", "a").alias("component"), "sketch")
         across = long_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(
             lambda t: _across(t, percent), "a long, b long")
         return _verified(across.distinct(), reps, percent)
 
-    more = staged(crossing, "shingle-crossing", spark)
-    root = components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    links = links.unionByName(staged(crossing, "shingle-crossing", spark))
+    root = components(links).withColumnRenamed("node", "rep")
     root = member.join(root, "rep", "left").select(
         F.col("doc_id").alias("_doc"), F.coalesce("component", "rep").alias("component_id"))
     return docs.select("doc_id").join(counts.select("_id", "n_shingles"), F.col("doc_id") == F.col("_id"), "left").join(
