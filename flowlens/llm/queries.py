@@ -144,3 +144,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.join(labelled, "doc_id"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+n as (select a, count(*) as n_links from links group by a),
+reach as (
+  with recursive r(a, b) as (select a, b from links union select r.a, l.b from r join links l on r.b = l.a)
+  select a, min(b) as low from r group by a)
+select e.vec_id, coalesce(n_links, 0) as n_links, least(e.vec_id, coalesce(low, e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) as kept
+from embeddings e left join n on n.a = e.vec_id left join reach on reach.a = e.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.ann_links import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
