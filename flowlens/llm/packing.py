@@ -6,8 +6,9 @@ the least room that holds it. When none does and no further window may open, the
 rounds of `merge_parts` tasks: the fullest window takes ids from the emptiest until it is full, so a round leaves one
 window per group, and one window of the whole table is not full.
 
-Memory: the ids of one document, of the open windows, and a bounded table of words already tokenised. White space separates
-tokens in the vocabulary used, so a text's ids are those of its words one after another.
+Memory: the ids of one document, of the open windows, and a bounded table of units already tokenised. The tokenizer files
+this is for lower-case a text and encode its runs of letters, its digits and its runs of other signs one by one, so a
+text's ids are those of its units one after another, which `units` finds.
 
 Defined results: a null or empty text is the closing id alone; every row is packed, also repeated ones; the result depends on the
 order of rows in the scan tasks, which is the same whenever a task runs again; extra columns are not read; an empty table gives an
@@ -31,7 +32,17 @@ END_ID = 1
 OPEN_WINDOWS = 32
 LEAST_CUT = 16
 MERGE_PARTS = 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+
+# Bytes by kind: space, letter, digit, other sign, and bytes that only the tokenizer itself judges.
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[33:127] = SIGN
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[list(K.SPACES)] = SPACE
+KIND[[ord("'"), ord("<")]] = ODD  # contractions, names of special tokens
+KIND[0xC3] = LETTER  # first byte of the letters from U+00C0 to U+00FF
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -47,14 +58,14 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[int, int] = {}  # word hash to number
         self.ids, self.n_ids = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, names: list[int], words: list[str]) -> None:
         for lo in range(0, len(words), 20_000):
-            part = words[lo:lo + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            part = names[lo:lo + 20_000]
+            found = self.tokenizer.encode_batch_fast(words[lo:lo + 20_000], add_special_tokens=False)
             lists = [f.ids for f in found]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
@@ -69,20 +80,67 @@ class WordIds:
             self.n_ids += len(flat)
             self.place.update(zip(part, range(first, first + count), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]  # bytes.split() cuts at the six ASCII spaces
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a run of texts."""
+        data, starts, ends, bounds = units(data, offsets)
+        word = K.span_hash(K.prefix_sums(K.byte_values(data)), starts, ends) + (ends - starts).astype(np.uint64)
+        names, first, number = distinct(word)
         if len(self.place) > CACHED_WORDS:
             self.clear()
-        new = {w for words in split for w in words if w not in self.place}
+        listed = names.tolist()
+        new = [i for i, name in enumerate(listed) if name not in self.place]
         if new:
-            self.learn(sorted(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((self.place[w] for words in split for w in words), np.int64, int(counts.sum()))
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self.learn([listed[i] for i in new], [data[a:b].tobytes().decode() for a, b in spans])
+        at = np.fromiter(map(self.place.__getitem__, listed), np.int64, len(listed))[number]
         sizes = self.size[at]
         flat = self.ids[K.ranges(self.start[at], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-        return np.split(flat, ends[:-1]) if len(split) else []
+        return np.split(flat, np.concatenate([[0], np.cumsum(sizes)])[bounds[1:-1]])
+
+
+def units(data: np.ndarray, offsets: np.ndarray):
+    """Bytes with simple letters in lower case, start and end of every unit, and the number of units before each text.
+
+    Units are runs of simple letters (ASCII, U+00C0 to U+00FF), single digits, and runs of other ASCII signs. A word with any
+    other byte is one unit and keeps its case: the tokenizer decides about it as a whole.
+    """
+    starts, ends, bounds = K.words(data, offsets)
+    if not len(starts):
+        return data, starts, ends, bounds
+    kind, low = KIND[data], K.LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    value = data[second]
+    letter = (value != 0x97) & (value != 0xB7)  # the signs for times and divided by
+    kind[second] = np.where(letter, LETTER, ODD)
+    low[second] += np.where(letter & (value <= 0x9E), 32, 0).astype(np.uint8)
+    odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+    whole = odd[ends] > odd[starts]
+    inside = K.ranges(starts[whole], (ends - starts)[whole])
+    low[inside], kind[inside] = data[inside], ODD
+    new = kind != SPACE
+    new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[starts] = True  # also where texts touch
+    first = np.flatnonzero(new)
+    word = np.searchsorted(starts, first, side="right") - 1
+    return low, first, np.minimum(np.append(first[1:], len(data)), ends[word]), np.searchsorted(first, offsets)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 64-bit values, the place of one of each, and every value's number among them."""
+    bits = max(1, int(len(x)).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    # the upper bits and the place sort as one number; should they not tell all values apart, sort the values themselves
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    value = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    if (new[1:] & ((value[1:] | low) == (value[:-1] | low))).any():
+        order = np.argsort(x, kind="stable")
+        value = x[order]
+        new[1:] = value[1:] != value[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return value[new], order[new], number
 
 
 def word_ids(path: str) -> WordIds:
@@ -189,8 +247,7 @@ def _pack_pass(batches, path, length, end_id, open_windows, least_cut):
         if packer is None and len(batch):
             packer = Packer(length, open_windows, least_cut, 0, parts[0].as_py())
         for lo, hi, data, offsets in K.chunks(batch.column(1)):
-            raw, bounds = data.tobytes(), offsets.tolist()
-            found = words.encode([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            found = words.encode(data, offsets)
             for i in range(lo, hi):
                 packer.add(ids[i], np.append(found[i - lo], np.uint32(end_id)))
             if len(packer.rows) > 10_000:
