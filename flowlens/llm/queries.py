@@ -140,8 +140,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir, "doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    labelled = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = toxicity.fit(docs.join(labelled, "doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

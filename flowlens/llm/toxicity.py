@@ -8,7 +8,7 @@ Fit (`fit`). Only documents are labelled, so tokens get their labels from them:
 one of its beginnings or endings, is far more frequent among toxic than among other documents of the training rows. The
 field is fitted to these labels by gradient steps on the likelihood; a logistic curve, fitted to a quarter of the rows that the
 field has not seen, turns the marginals of a document (their expected number and the largest one) into its score. The fit uses at most `max_rows` labelled rows of each class, the first in the order of a
-hash of the doc_id; `max_rows` bounds what the driver holds.
+hash of the doc_id; `max_rows` bounds what the fitting task holds.
 
 Score (`score`). Every whole text, in Arrow batches, with the fitted weights (their size is fixed by `bits`) shipped to the tasks.
 
@@ -18,6 +18,7 @@ null are not used; extra columns stay; without labelled rows of both classes the
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,12 +41,18 @@ MADE = ("score", "n_toxic_tokens", "spans")
 
 @dataclass
 class Model:
-    weights: np.ndarray  # hashed token and neighbour weights
+    active: np.ndarray  # numbers of the features with a weight
+    values: np.ndarray
     bias: float
     step: np.ndarray  # 2 x 2 scores of neighbouring states
     curve: tuple[float, ...]  # logistic curve over the marginals of a document
     bits: int
 
+    def weights(self) -> np.ndarray:
+        every = np.zeros(1 << self.bits, np.float32)
+        every[self.active] = self.values
+        return every
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray, bits: int):
     """Weight numbers of every token, one array per feature (0: none; the last two are the neighbours), first and end bytes, and
@@ -205,7 +212,7 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, bits: int = BITS, rounds: int
     for surprise in surprises:
         label = token_labels(found, text, toxic[~held], bits, least_ratio, surprise)
         model = _fit_field(found, bounds, label, bits, rounds, least_tokens)
-        p, _ = marginals(token_scores(model.weights, model.bias, other), other_bounds, model.step)
+        p, _ = marginals(token_scores(model.weights(), model.bias, other), other_bounds, model.step)
         x, y = evidence(p, other_bounds), toxic[held].astype(float)
         model.curve = tuple(_logistic(x, y).tolist())
         margin = np.clip(x @ np.array(model.curve), -30, 30)
@@ -221,7 +228,7 @@ def _fit_field(found, bounds, label, bits, rounds, least_tokens) -> Model:
     positive = sum(np.bincount(f, weights=label, minlength=size) for f in found)
     active = np.flatnonzero(positive >= least_tokens)
     active = active[active > 0]
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[active] = np.arange(len(active))
     found = [place[f] for f in found]  # -1: the last weight, which stays 0
     size = len(active) + 1
@@ -245,31 +252,41 @@ def _fit_field(found, bounds, label, bits, rounds, least_tokens) -> Model:
         weights += 0.5 * slope / np.sqrt(square)
         step += 0.2 * slope_step / np.sqrt(square_step)
         bias += 0.2 * slope_bias / np.sqrt(square_bias)
-    every = np.zeros(1 << bits, np.float32)
-    every[active] = weights[:-1]
-    return Model(every, bias, step, (0.0,), bits)
+    return Model(active, weights[:-1].astype(np.float32), bias, step, (0.0,), bits)
+
 
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, bits: int = BITS) -> Model | float:
+    """The model from docs (doc_id, text) and labels (doc_id, toxic: 0 or 1); without both classes, the share of toxic rows.
 
-def fit(labelled: DataFrame, max_rows: int = 2500, bits: int = BITS) -> Model | float:
-    """The model from rows of doc_id, text and toxic (0 or 1); without both classes, the share of toxic rows."""
-    labelled = labelled.where("toxic is not null")
-    parts = [
-        labelled.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("text").toArrow()
-        for value in (0, 1)]
-    if not all(len(p) for p in parts):
-        return float(len(parts[1]) > 0)
-    texts = pa.concat_arrays([c.cast(pa.large_string()) for p in parts for c in p["text"].chunks])
-    toxic = np.repeat([False, True], [len(parts[0]), len(parts[1])])
-    order = np.argsort(np.concatenate([np.arange(len(p)) for p in parts]), kind="stable")  # both classes in turn
-    return fit_texts(texts.take(pa.array(order)), toxic[order], bits)
+    The rows are chosen by doc_id before any text is read; one task holds the at most 2 * `max_rows` chosen texts.
+    """
+    labels = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ranked = [labels.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]
+    chosen = F.broadcast(ranked[0].unionByName(ranked[1]))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("place"), "text", "toxic")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("text", "ascending")])
+        toxic = table["toxic"].to_numpy() == 1
+        blob = None
+        if toxic.any() and not toxic.all():
+            texts = pa.concat_arrays([c.cast(pa.large_string()) for c in table["text"].chunks])
+            blob = pickle.dumps(fit_texts(texts, toxic, bits))
+        return pa.table({"share": pa.array([float(toxic.mean())]), "model": pa.array([blob], pa.binary())})
+
+    found = rows.groupBy(F.lit(0)).applyInArrow(run, "share double, model binary").first()
+    if found is None:
+        return 0.0
+    return found["share"] if found["model"] is None else pickle.loads(found["model"])
 
 
 def score_texts(model: Model, column: pa.Array, threshold: float):
     """Score, number of tokens above `threshold`, and their (start, end) bytes, per text."""
     scores, counts, spans = [], [], []
+    weights = model.weights()
     for _, _, data, offsets in K.chunks(column):
         found, starts, ends, bounds = tokens(data, offsets, model.bits)
-        p, _ = marginals(token_scores(model.weights, model.bias, found), bounds, model.step)
+        p, _ = marginals(token_scores(weights, model.bias, found), bounds, model.step)
         x = evidence(p, bounds) @ np.array(model.curve)
         scores.append(1 / (1 + np.exp(-np.clip(x, -30, 30))))
         hit = np.flatnonzero(p >= threshold)
@@ -288,7 +305,7 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> Data
         spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
         return give_rest(kept.select("*", F.lit(model).alias("score"), F.lit(0).cast("long").alias("n_toxic_tokens"),
                                      spans.alias("spans")), *MADE)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits weights, whatever the input
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^bits weights, whatever the input
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
