@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, bits: int = BI
             blob = pickle.dumps(fit_texts(texts, toxic, bits))
         return pa.table({"share": pa.array([float(toxic.mean())]), "model": pa.array([blob], pa.binary())})
 
-    found = rows.groupBy(F.lit(0)).applyInArrow(run, "share double, model binary").first()
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "share double, model binary").first()
     if found is None:
         return 0.0
     return found["share"] if found["model"] is None else pickle.loads(found["model"])
