@@ -45,7 +45,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_co
         "left", F.col("total") - F.coalesce(F.sum("limit").over(so_far), F.lit(0))).withColumn(
         "against", F.sum("weight").over(onward)).withColumn(
         "full", F.col("left") * F.col("weight") >= F.col("limit") * F.col("against"))
-    rest = per.withColumn("level_left", F.min(F.when(~F.col("full"), F.col("left"))).over(every)).withColumn(
+    rest = per.withColumn("level_left", F.max(F.when(~F.col("full"), F.col("left"))).over(every)).withColumn(
         "level_against", F.max(F.when(~F.col("full"), F.col("against"))).over(every))
     target = F.when(F.col("full"), F.col("limit").cast("double")).otherwise(
         F.col("weight") * F.col("level_left").cast("double") / F.col("level_against").cast("double"))

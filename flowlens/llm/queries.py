@@ -105,7 +105,7 @@ levels as (
   from named window o as (order by lim / weight::double, source nulls last)),
 targets as (
   select *, case when rest * weight >= lim * against then lim::double
-      else weight * (min(rest) filter (rest * weight < lim * against) over ())::double
+      else weight * (max(rest) filter (rest * weight < lim * against) over ())::double
         / (max(against) filter (rest * weight < lim * against) over ())::double end as target
   from levels),
 rates as (
