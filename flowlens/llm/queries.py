@@ -169,3 +169,42 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.ann_links import link_vectors
 
     return link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.tiktoken")).select(
+        "doc_id", "n_words", "n_tokens")
+
+
+OP8_SQL = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls last, coalesce(role, ''), coalesce(text, '')) as place
+  from conversations),
+lines as (
+  select conv_id, place, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line from t),
+prefixes as (
+  select conv_id, place, string_agg(line, '') over (partition by conv_id order by place) as so_far,
+    count(*) over (partition by conv_id) as n from lines),
+ends as (select * from prefixes where place = n)
+select min(conv_id) as conv_id, n as n_turns, count(*) as n_equal, so_far as text
+from ends e where not exists (select 1 from prefixes p where p.place < p.n and p.place = e.n and p.so_far = e.so_far)
+group by n, so_far
+"""
+
+
+@query("op8_chat_formatting", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.chat import render
+
+    return render(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
