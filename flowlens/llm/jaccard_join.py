@@ -268,25 +268,36 @@ def _sketches(batches):
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of long lists whose sides are in different components so far and whose sketches do not rule a link out."""
+    """Pairs of long lists whose sides are in different components so far and whose sketches do not rule a link out.
+
+    A pair counts in the first long list that its sides share, where the bound on what is left is the tightest.
+    """
     key, doc, part, n, place = (table[c].to_numpy() for c in ("key", "a", "component", "n", "place"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(doc), -1)
     n, left = n.astype(np.int64), n.astype(np.int64) - place
     order = np.argsort(key, kind="stable")
     found = [np.zeros((2, 0), np.int64)]
     edges = np.flatnonzero(np.diff(key[order])) + 1
+    lists, sets = table["lists"], {}
+
+    def before(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(x["key"] for x in lists[i].as_py() if x["place"] < place[i])
+        return sets[i]
+
     for group in np.split(order, edges) if len(order) else []:
         parts, inverse, many = np.unique(part[group], return_inverse=True, return_counts=True)
         if len(parts) == 1:
             continue
         outer = inverse != np.argmax(many)  # every pair has a side outside the largest component
         for i in np.flatnonzero(outer):
-            one = group[i]
+            one = int(group[i])
             # of two sides that are both outside, the later meets the earlier
             other = group[(inverse != inverse[i]) & (~outer | (np.arange(len(group)) < i))]
             other = other[_possible(n[one], left[one], n[other], left[other], percent)]
             differ = np.bitwise_count(sketch[other] ^ sketch[one]).sum(axis=1, dtype=np.int64)
-            other = doc[other[(100 + percent) * differ <= (100 - percent) * (n[one] + n[other])]]
+            other = other[(100 + percent) * differ <= (100 - percent) * (n[one] + n[other])].tolist()
+            other = doc[np.array([i for i in other if before(one).isdisjoint(before(i))], np.int64)]
             found.append(np.stack([np.minimum(doc[one], other), np.maximum(doc[one], other)]))
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
@@ -352,9 +363,11 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
     def crossing():
         near = components(links).withColumnRenamed("node", "a")
         sketches = reps.select("doc_id", "tokens").mapInArrow(_sketches, "_id long, sketch binary")
-        long_ = merged.where("kind = 1").select("key", "a", "n", "place").join(near, "a", "left").join(
-            sketches, F.col("a") == F.col("_id")).select(
-            "key", "a", "n", "place", F.coalesce("component", "a").alias("component"), "sketch")
+        entries = merged.where("kind = 1").select("key", "a", "n", "place")
+        known = entries.groupBy("a").agg(F.collect_list(F.struct("place", "key")).alias("lists")).join(near, "a", "left").join(
+            sketches, F.col("a") == F.col("_id"))
+        long_ = entries.join(known, "a").select(
+            "key", "a", "n", "place", F.coalesce("component", "a").alias("component"), "sketch", "lists")
         across = long_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(
             lambda t: _across(t, percent), "a long, b long")
         return _verified(across.distinct(), reps, percent)
