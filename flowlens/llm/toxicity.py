@@ -200,9 +200,9 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, bits: int = BITS, rounds: int
               least_ratio: float = 10.0, surprises: tuple[float, ...] = (18.0, 13.0)) -> Model:
     """The field fitted to texts and their labels, in memory.
 
-    Every fourth text serves the curve only; it also decides which of `surprises` labels the tokens.
+    About every fourth text serves the curve only; it also decides which of `surprises` labels the tokens.
     """
-    held = np.arange(len(toxic)) % 4 == 3
+    held = K.mix(np.arange(len(toxic), dtype=np.uint64)) % np.uint64(4) == 3
     data, offsets = K.text_bytes(texts.filter(pa.array(~held)))
     found, _, _, bounds = tokens(data, offsets, bits)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
