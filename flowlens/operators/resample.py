@@ -12,7 +12,7 @@ from flowlens.functions.columns import hash_unit
 from flowlens.operators.neighbors import knn_join
 from flowlens.operators.ordering import class_sizes, hash_cut
 from flowlens.session import cut_lineage
-from flowlens.operators.splits import SEED, cap_classes, half_up
+from flowlens.operators.splits import SEED, cap_classes
 
 NEIGHBORS = 5
 
@@ -107,7 +107,7 @@ def adasyn(df: DataFrame, class_col: str, id_col: str, vec_col: str, minority, m
     """Synthetic minority rows up to `ratio` times the majority; None where nothing is to be made."""
     sizes = class_sizes(df, class_col)
     few, many = sizes.get(minority, 0), sizes.get(majority, 0)
-    target = half_up(many * ratio)
+    target = round(many * ratio)  # half to even
     if few >= target or few < 2:
         return None
     generate = target - few

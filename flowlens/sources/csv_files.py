@@ -11,7 +11,11 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-SAMPLE = 16_384
+from flowlens.session import ship_package
+
+SAMPLE = 16_384  # bytes that the delimiter is judged by; the header and the encoding are judged by all that matters to them
+CHUNK = 4 << 20
+REJECTED = "_rejected"
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 # Names of the encodings as the JVM knows them.
@@ -29,6 +33,26 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.orderBy("file_name")
 
 
+def read_whole(stream, candidates: Sequence[str] = ENCODINGS) -> tuple[str, bytes]:
+    """The first candidate that decodes the whole stream, and the bytes up to the end of its first line, SAMPLE at least."""
+    decoders = {name: codecs.getincrementaldecoder(name)() for name in candidates}
+    head, in_head = b"", True
+    while True:
+        part = stream.read(CHUNK)
+        for name in list(decoders):
+            try:
+                decoders[name].decode(part, final=not part)
+            except UnicodeDecodeError:
+                del decoders[name]
+        if not part:
+            return next((name for name in candidates if name in decoders), candidates[-1]), head
+        if in_head:
+            head += part
+            end = head.find(b"\n", 0)
+            if end >= 0:
+                head, in_head = head[:max(end + 1, SAMPLE)], False
+
+
 def pick_encoding(head: bytes, candidates: Sequence[str] = ENCODINGS) -> str:
     """The first candidate that decodes the sample; a character cut at its end does not count."""
     for name in candidates:
@@ -66,8 +90,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, name in zip(pdf["path"], pdf["file_name"]):
             store, inner = fs.FileSystem.from_uri(path)
             with store.open_input_stream(inner) as f:
-                head = f.read(SAMPLE)
-            encoding = pick_encoding(head)
+                encoding, head = read_whole(f)
             text = codecs.getincrementaldecoder(encoding)("replace").decode(head)
             delimiter = pick_delimiter(text)
             rows.append((path, name, encoding, delimiter, raw_header(text, delimiter)))
@@ -75,7 +98,8 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def profile_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, file_name, encoding, delimiter, header: each task reads the first 16 KiB of its files."""
+    """path, file_name, encoding, delimiter, header: each task streams its files once."""
+    ship_package(spark)
     paths = list_files(spark, folder).select("path", "file_name")
     return paths.mapInPandas(
         _profile, "path string, file_name string, encoding string, delimiter string, header array<string>")
@@ -99,10 +123,30 @@ def _normalized(spark: SparkSession, profiles: DataFrame) -> dict[str, list[str]
 def read_files(spark: SparkSession, folder: str, source: str = "source_file", row_id: str = "row_id") -> DataFrame:
     """All files as one text table with the union of their columns, the source file and a row id.
 
-    Files of equal encoding, delimiter and header are one scan. A line with more fields than the header is
-    dropped, one with fewer is filled with nulls. Quoted line breaks are not supported, so that large files
-    can be split.
+    Files of equal encoding, delimiter and header are one scan. A line with fewer fields than the header is filled with
+    nulls; one with more is left out here and listed by `rejected_lines`. Quoted line breaks are not supported, so that
+    large files can be split.
     """
+    parts, union = _scans(spark, folder, source)
+    whole = None
+    for scan, _ in parts:
+        part = scan.where(~F.col("_too_many")).drop(REJECTED, "_too_many")
+        whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
+    return number_rows(whole, source, row_id).select(row_id, *[c for c in union if c != source], source)
+
+
+def rejected_lines(spark: SparkSession, folder: str, source: str = "source_file") -> DataFrame:
+    """source_file, line, expected: the lines with more fields than their file's header."""
+    parts, _ = _scans(spark, folder, source)
+    out = None
+    for scan, names in parts:
+        part = scan.where("_too_many").select(source, F.col(REJECTED).alias("line"), F.lit(len(names)).alias("expected"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scans(spark: SparkSession, folder: str, source: str) -> tuple[list[tuple[DataFrame, tuple[str, ...]]], list[str]]:
+    """One scan per encoding, delimiter and header, with the raw line where its number of fields differs, and all columns."""
     profiles = profile_files(spark, folder).collect()  # one row per file
     if any(JVM_CHARSETS[p["encoding"]] == "windows-1252" for p in profiles):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -118,18 +162,17 @@ def read_files(spark: SparkSession, folder: str, source: str = "source_file", ro
         union += [c for c in columns[p["file_name"]] if c not in union]
     parts = []
     for (charset, delimiter, names), paths in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "_overflow")])
-        scan = (
-            spark.read.schema(schema)
-            .csv(paths, sep=delimiter, encoding=charset, header=True, mode="PERMISSIVE", escape='"')
-            .select("*", F.col("_metadata.file_name").alias(source), F.col("_metadata.file_block_start").alias("_start"),
-                    F.monotonically_increasing_id().alias("_at"))
-        )
-        parts.append(scan.where(F.col("_overflow").isNull()).drop("_overflow"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return number_rows(whole, source, row_id).select(row_id, *[c for c in union if c != source], source)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, REJECTED)])
+        bare = F.regexp_replace(F.col(REJECTED), '"([^"]|"")*"', "")
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+        parsed = F.length(F.concat_ws("", names[0])) >= 0  # always true; Spark refuses scans of the raw line alone
+        scan = spark.read.schema(schema).option("columnPruning", "false").csv(
+            paths, sep=delimiter, encoding=charset, header=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord=REJECTED)
+        scan = scan.select(
+            "*", F.coalesce((fields > len(names)) & parsed, F.lit(False)).alias("_too_many"), F.col("_metadata.file_name").alias(source),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+        parts.append((scan, names))
+    return parts, union
 
 
 def number_rows(df: DataFrame, source: str, row_id: str) -> DataFrame:

@@ -408,3 +408,34 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream = events.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema_).schema)
     out = events.drain(events.without_repeats(stream, "id", "at"), str(tmp_path / "out"))
     assert {r["id"] for r in out.collect()} == {0, 30, 41, 52}
+
+
+def test_ingestion_loses_nothing_unsaid(spark, tmp_path):
+    """Long headers, late bytes of another encoding, and lines with too many fields."""
+    from flowlens.sources import csv_files
+
+    wide = [f"column_number_{i:05d}_with_a_long_name" for i in range(900)]
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n5,6,7\n8,9,,10\n3\n"x,y",4\n')
+    (tmp_path / "b.csv").write_text(",".join(wide) + "\n" + (",".join("1" * 900) + "\n") * 50)
+    (tmp_path / "c.csv").write_bytes(b"a,b\n" + b"1,2\n" * 6000 + "3,dash – x\n".encode("cp1252"))
+    table = csv_files.read_files(spark, str(tmp_path))
+    counts = {r[0]: r[1] for r in table.groupBy("source_file").count().collect()}
+    assert counts == {"a.csv": 3, "b.csv": 50, "c.csv": 6001} and len(table.columns) == 904
+    assert [r.b for r in table.where("b like 'dash%'").collect()] == ["dash – x"]
+    lines = {(r.source_file, r.line, r.expected) for r in csv_files.rejected_lines(spark, str(tmp_path)).collect()}
+    assert lines == {("a.csv", "5,6,7", 2), ("a.csv", "8,9,,10", 2)}
+
+
+def test_workers_have_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from flowlens.session import build_session\nfrom flowlens.sources.csv_files import profile_files\n"
+            "spark = build_session('local[1]', 'elsewhere')\n"
+            f"assert profile_files(spark, {str(tmp_path)!r}).count() == 1\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
