@@ -38,11 +38,11 @@ def prepare(spark: SparkSession, folder: str, out: str, rules: cleaning.Cleaning
 
 def choose_features(
     train: DataFrame, candidates: Sequence[str], target: str = "label_multiclass", row_id: str = "row_id",
-    sample: int = 200_000, elimination_sample: int = 50_000, information: int = selection.TOP_INFORMATION,
+    elimination_sample: int = 50_000, information: int = selection.TOP_INFORMATION,
     keep: int = selection.KEEP_FEATURES,
 ) -> list[str]:
-    """Correlation filter, then mutual information, then elimination, each on a stratified sample."""
-    rows = splits.stratified_sample(train.select(row_id, target, *candidates), target, row_id, sample)
+    """Correlation filter and mutual information over all rows, then elimination with fits on a stratified sample."""
+    rows = train.select(row_id, target, *candidates)
     left = selection.kept_features(candidates, selection.correlation_filter(selection.correlations(rows, candidates)))
     left = selection.top_information(selection.mutual_information(rows, left, target), left, information)
     fewer = splits.stratified_sample(rows, target, row_id, elimination_sample)

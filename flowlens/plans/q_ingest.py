@@ -146,7 +146,7 @@ def a12(spark, sf_dir):
 # ---- B: names and types
 
 define("headers", """select p_size as file, p_partkey as pos,
-  ' ' || p_type || ' ' || split_part(p_name, ' ', 1) || case when p_partkey % 3 = 0 then '/s' when p_partkey % 3 = 1 then ' % ' else '--' end as raw_name
+  ' ' || p_type || ' ' || p_name || case when p_partkey % 3 = 0 then '/s' when p_partkey % 3 = 1 then ' % ' else '--' end as raw_name
   from part""")
 define("named", """select *, coalesce(nullif(trim(regexp_replace(replace(replace(lower(trim(raw_name)), '%', 'pct'), '/', '_per_'),
   '[^0-9a-zA-Z]+', '_', 'g'), '_'), ''), 'unnamed_column') as name from headers""", "headers")
@@ -158,7 +158,7 @@ def headers(spark, sf_dir):
     """Parts as header cells: the size names the file, the key the place."""
     key = F.col("p_partkey") % 3
     tail = F.when(key == 0, "/s").when(key == 1, " % ").otherwise("--")
-    raw = F.concat(F.lit(" "), "p_type", F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1)), tail)
+    raw = F.concat(F.lit(" "), "p_type", F.lit(" "), "p_name", tail)
     return table(spark, sf_dir, "part").select(F.col("p_size").alias("file"), F.col("p_partkey").alias("pos"), raw.alias("raw_name"))
 
 

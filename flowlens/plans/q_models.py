@@ -269,7 +269,7 @@ def l4(spark, sf_dir):
 
 @query("M20_detector_run")
 def m20(spark, sf_dir):
-    df = anomaly.run_detectors(marked(spark, sf_dir), DETECTOR_FEATURES, "row_id", caps={"local_outlier_factor": 2000, "test": 2000}, trees=25)
+    df = anomaly.run_detectors(marked(spark, sf_dir), DETECTOR_FEATURES, "row_id", caps={"local_outlier_factor": 2000}, trees=25)
     names = ("threshold", "accuracy", "precision", "recall", "f1_score", "roc_auc", "score_min", "score_max")
     return df.select("detector", "status", *[quantized(c).alias(c) for c in names])
 
