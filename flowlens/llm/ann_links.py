@@ -287,7 +287,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, capacity: int = 16_384
 
     reps = staged(folded, "link-vectors", spark)
     graphs = staged(lambda: reps.select("label", "dim", "shard", "rep", "weight", "embedding").groupBy(
-        "label", "dim", "shard").applyInArrow(_build, "label int, dim int, shard long, graph binary"), "link-graphs", spark)
+        "label", "dim", "shard").applyInArrow(lambda k, t: _build(k, t), "label int, dim int, shard long, graph binary"), "link-graphs", spark)
 
     def asked():
         place = ["label", "dim", "shard", "part"]
