@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Elements that are no article text by their kind or name (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are cut off first. Every other node gets its link-adjusted
+adverts, forms, scripts, styles, reader comments) are cut off first. A class or id name, or a form, is a hint only: the node
+stays if it holds a first-level heading or, on a page without an article element outside such nodes, the main element, the
+longest article element or most of the page's characters outside links. Every other node gets its link-adjusted
 characters per tag; the densities of a node's children are summed, and the subtree with the largest sum holds the main text. The
 smallest density on the path from the body to it is the threshold: outside an article element, a sibling subtree on that path
 counts as well if its own density reaches the threshold; inside one, the whole article element is taken.
@@ -35,7 +37,7 @@ BLOCKS = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 CUT = frozenset(
-    "nav header footer aside form script style noscript iframe textarea title head select button input template svg canvas "
+    "nav header footer aside script style noscript iframe textarea title head select button input template svg canvas "
     "object menu dialog xmp".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CUT_NAMES = frozenset(
@@ -43,6 +45,10 @@ CUT_NAMES = frozenset(
     "gdpr notice notices notification alert popup modal overlay sidebar side menu menus nav navbar navigation breadcrumb "
     "breadcrumbs header masthead footer comment comments commentlist reply replies respond disqus discussion share sharing "
     "social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar".split())
+READER_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+ABOUT_OTHERS = frozenset("no not with without has".split())  # no-sidebar and with-sidebar are no sidebars
+MOST = 2 / 3  # share of the page's characters outside links that overrules a name
+LEAST = 1 / 10  # names that leave less than this share of them cut nothing
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 KEEPS_OPEN = frozenset("ul ol dl table td th div section article main body html blockquote figure".split())
@@ -51,6 +57,7 @@ MADE = ("text", "n_chars")
 
 
 def unwanted(tag: str, attributes: str) -> bool:
+    """Whether the element is no article text whatever it holds."""
     if tag in CUT:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
@@ -61,16 +68,29 @@ def unwanted(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and not CUT_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
+def hinted(tag: str, attributes: str) -> set[str]:
+    """Names of the element that say it is no article text."""
+    found = {"form"} if tag == "form" else set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for whole in next((v for v in values if v), "").lower().split():
+                for part in re.split(r"[^a-z]+", whole):
+                    if part in ABOUT_OTHERS:
+                        break
+                    if part in CUT_NAMES:
+                        found.add(part)
+    return found
+
+
 class Page:
     """Nodes in page order, each with its parent, and the pieces of text and block ends between them."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.cut = ["body"], [-1], [False]
+        self.hints: dict[int, set[str]] = {}
         self.pieces: list[tuple[int, str | None]] = []  # node and text; None ends a block
         open_, at = [0], 0
         for m in self.tokens(source):
@@ -87,6 +107,42 @@ class Page:
             elif tag not in ("html", "body"):
                 self.start(open_, tag, m[3] or m[6] or "")
         self.pieces.append((open_[-1], html.unescape(source[at:])))
+        if self.hints:
+            self.follow_hints()
+
+    def follow_hints(self) -> None:
+        """Cuts the nodes with a hint, but for those whose content overrules it."""
+        n = len(self.tag)
+        chars, linked = [0] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
+        for node, text in self.pieces:
+            if text and not self.cut[node] and not linked[node]:
+                chars[node] += len("".join(text.split()))
+        own = list(chars)
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        under = [False] * n
+        for i in range(1, n):
+            under[i] = i in self.hints or under[self.parent[i]]
+        articles = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.cut[i] and i not in self.hints]
+        known = any(not under[i] for i in articles)  # the page marks its article outside such nodes
+        most = {i for i, names in self.hints.items() if chars[i] > MOST * chars[0] and not known and not names & READER_NAMES}
+        holds = [i in most or self.tag[i] == "h1" and not self.cut[i] for i in range(n)]
+        if articles and not known:
+            longest = max(articles, key=lambda i: (self.tag[i] == "main", chars[i], -i))
+            up = longest
+            while up > 0 and up not in most:
+                up = self.parent[up]
+            holds[longest] |= up in most or not most
+        for i in range(n - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i]
+        cut = list(self.cut)
+        for i in range(1, n):
+            free = i not in self.hints or self.tag[i] in ("article", "main") or holds[i]
+            cut[i] = cut[i] or cut[self.parent[i]] or not free
+        if known or sum(own[i] for i in range(n) if not cut[i]) >= LEAST * chars[0]:
+            self.cut = cut
 
     def tokens(self, source: str):
         """Tags and comments; the inside of a raw element is skipped up to its end tag."""
@@ -109,6 +165,8 @@ class Page:
         self.tag.append(tag)
         self.parent.append(open_[-1])
         self.cut.append(self.cut[open_[-1]] or unwanted(tag, attributes))
+        if not self.cut[node] and (names := hinted(tag, attributes)):
+            self.hints[node] = names
         if tag not in EMPTY and not attributes.rstrip().endswith("/") or tag in RAW:
             open_.append(node)
 

@@ -263,6 +263,23 @@ def test_html_cases(spark):
     assert {r.page_id: r.n_chars for r in html_text.extract(frame).collect()}[2] == 0
 
 
+def test_html_names_are_hints():
+    """A name or a form around the article takes nothing of it; boxes with such names still go."""
+    article, box = "<h1>Head</h1>" + "<p>" + "long text " * 30 + "</p>", "<div class='site-footer'>foot</div>"
+    want = "Head\n" + ("long text " * 30).strip()
+    for open_, end in (("<div class='content with-sidebar'>", "</div>"), ("<div id=page class=no-sidebar>", "</div>"),
+                       ("<div class='social-article'>", "</div>"), ("<form id=aspnetForm><input value=x>", "</form>")):
+        assert html_text.main_text(f"<body>{open_}{article}{end}{box}</body>") == want, open_
+        bare = article.replace("<h1>Head</h1>", "")
+        assert html_text.main_text(f"<body>{open_}{bare}{end}{box}</body>") == want[5:], open_
+    assert html_text.main_text(f"<div><div class='post-header'><h1>Head</h1></div>{article[13:]}</div>{box}") == want
+    parts = "".join(f"<div class='widget-part'><p>{'long text ' * 30}</p></div>" for _ in "ab")
+    assert html_text.main_text(f"<div class='widget-page'>{parts}</div>") == "\n".join([want[5:]] * 2)
+    assert html_text.main_text(f"<div class=ad>{'buy this ' * 90}</div><article>{article}</article>") == want
+    posts = "".join(f"<li class=comment><article class='comment-body'>{'said so ' * 60}</article></li>" for _ in "abc")
+    assert html_text.main_text(f"<div><p>{'long text ' * 30}</p></div><ol class='commentlist'>{posts}</ol>") == want[5:]
+
+
 def test_token_counts_against_longest_match(docs, empty):
     path = Q.tokenizer_file("byte_bpe_50k.tiktoken")
     words = token_counts.read_vocabulary(path)
