@@ -35,6 +35,7 @@ from flowlens.llm.exchange import (
 WORDS_EACH = 5
 SHORT_LIST = 2
 SKETCH_BITS = 512
+FIRST_LISTS = 16  # long lists of a document that travel with each of its entries
 
 
 def shingle_sets(column: pa.Array, words_each: int):
@@ -267,23 +268,37 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["_id", "sketch"])
 
 
+def _first_lists(column, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the first lists of each row, `m` columns; a missing one has no place (-1)."""
+    keys, places = np.zeros((len(column), m), np.int64), np.full((len(column), m), -1, np.int64)
+    at = 0
+    for chunk in column.chunks:
+        many = np.diff(chunk.offsets.to_numpy())
+        row = np.repeat(np.arange(at, at + len(chunk)), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        flat = chunk.flatten()
+        keys[row, nth], places[row, nth] = flat.field("key").to_numpy(), flat.field("place").to_numpy()
+        at += len(chunk)
+    return keys, places
+
+
 def _across(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of long lists whose sides are in different components so far and whose sketches do not rule a link out.
 
-    A pair counts in the first long list that its sides share, where the bound on what is left is the tightest.
+    A pair is left out of a list if its sides share an earlier one, where the bound on what is left is the tighter, among the
+    first long lists of both; a pair that shares none of these may come from several lists.
     """
     key, doc, part, n, place = (table[c].to_numpy() for c in ("key", "a", "component", "n", "place"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(doc), -1)
     n, left = n.astype(np.int64), n.astype(np.int64) - place
+    first, first_place = _first_lists(table["lists"], FIRST_LISTS)
     order = np.argsort(key, kind="stable")
     found = [np.zeros((2, 0), np.int64)]
     edges = np.flatnonzero(np.diff(key[order])) + 1
-    lists, sets = table["lists"], {}
 
-    def before(i: int) -> frozenset:
-        if i not in sets:
-            sets[i] = frozenset(x["key"] for x in lists[i].as_py() if x["place"] < place[i])
-        return sets[i]
+    def met_before(one: int, other: np.ndarray) -> np.ndarray:
+        earlier = first[one][(first_place[one] >= 0) & (first_place[one] < place[one])]
+        return (np.isin(first[other], earlier) & (first_place[other] >= 0)).any(axis=1)
 
     for group in np.split(order, edges) if len(order) else []:
         parts, inverse, many = np.unique(part[group], return_inverse=True, return_counts=True)
@@ -296,13 +311,22 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
             other = group[(inverse != inverse[i]) & (~outer | (np.arange(len(group)) < i))]
             other = other[_possible(n[one], left[one], n[other], left[other], percent)]
             differ = np.bitwise_count(sketch[other] ^ sketch[one]).sum(axis=1, dtype=np.int64)
-            other = other[(100 + percent) * differ <= (100 - percent) * (n[one] + n[other])].tolist()
-            other = doc[np.array([i for i in other if before(one).isdisjoint(before(i))], np.int64)]
+            other = other[(100 + percent) * differ <= (100 - percent) * (n[one] + n[other])]
+            other = doc[other[~met_before(one, other)]]
             found.append(np.stack([np.minimum(doc[one], other), np.maximum(doc[one], other)]))
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
+def long_entries(merged: DataFrame, near: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Entries of long lists with component, sketch and first lists of their document: a bounded row each."""
+    entries = merged.where("kind = 1").select("key", "a", "n", "place")
+    lists = F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, FIRST_LISTS)
+    known = entries.groupBy("a").agg(lists.alias("lists")).join(near, "a", "left").join(sketches, F.col("a") == F.col("_id"))
+    return entries.join(known, "a").select(
+        "key", "a", "n", "place", F.coalesce("component", "a").alias("component"), "sketch", "lists")
+
+
 def _probe(batches, percent: int):
     """The pairs that link, by binary search of one set's tokens in the other."""
     for batch in batches:
@@ -363,13 +387,8 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
     def crossing():
         near = components(links).withColumnRenamed("node", "a")
         sketches = reps.select("doc_id", "tokens").mapInArrow(_sketches, "_id long, sketch binary")
-        entries = merged.where("kind = 1").select("key", "a", "n", "place")
-        known = entries.groupBy("a").agg(F.collect_list(F.struct("place", "key")).alias("lists")).join(near, "a", "left").join(
-            sketches, F.col("a") == F.col("_id"))
-        long_ = entries.join(known, "a").select(
-            "key", "a", "n", "place", F.coalesce("component", "a").alias("component"), "sketch", "lists")
-        across = long_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(
-            lambda t: _across(t, percent), "a long, b long")
+        across = long_entries(merged, near, sketches).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy(
+            "shard").applyInArrow(lambda t: _across(t, percent), "a long, b long")
         return _verified(across.distinct(), reps, percent)
 
     links = links.unionByName(staged(crossing, "shingle-crossing", spark))

@@ -122,6 +122,36 @@ def test_jaccard_against_brute_force(spark, docs, empty):
     assert jaccard_join.join_components(empty).count() == 0
 
 
+def test_long_lists_travel_bounded(spark):
+    """Documents with very many long lists: every entry is a bounded row, and a pair is met if it shares any list."""
+    rng, rows = np.random.default_rng(8), []
+    for doc in range(6):
+        keys = np.sort(rng.choice(600, 400, replace=False))
+        rows += [(1, int(k), doc, 0, 2000, i) for i, k in enumerate(keys)]
+    rows += [(1, 900 + k, 6 + d, 0, 2000, 3 * k + (k > 0)) for k in range(30) for d in range(2)]
+    rows += [(1, -k - 1 - 100 * d, 6 + d, 0, 2000, k) for k in range(1, 80) for d in range(2)]
+    merged = spark.createDataFrame(rows, jaccard_join.PAIRS)
+    near = spark.createDataFrame([], "a long, component long")
+    sketches = spark.createDataFrame([(d, bytes(64)) for d in range(8)], "_id long, sketch binary")
+    made = jaccard_join.long_entries(merged, near, sketches).toArrow()
+    assert len(made) == len(rows) and max(len(x) for x in made["lists"].to_pylist()) <= 16
+    found = jaccard_join._across(made, 80)
+    assert set(zip(*(found[c].to_pylist() for c in "ab"), strict=True)) == {*itertools.combinations(range(6), 2), (6, 7)}
+
+
+def test_jaccard_of_long_near_copies(spark):
+    rows = []
+    for seed in range(2):
+        base = prose(40 + seed, 1500, 100_000).split()
+        for copy in range(5):
+            words = list(base)
+            for at in np.random.default_rng([seed, copy]).integers(0, 1500, 25 * copy):
+                words[at] = f"e{seed}x{copy}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    got = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute_components(rows)
+
+
 def covered(words, n):
     at = defaultdict(list)
     for i in range(len(words) - n + 1):
