@@ -234,7 +234,7 @@ def benign_train(spark, sf_dir):
 
 @query("L1_isolation_forest")
 def l1(spark, sf_dir):
-    scorer = anomaly.isolation_forest(benign_train(spark, sf_dir), DETECTOR_FEATURES, "row_id", trees=50)
+    scorer = anomaly.isolation_forest(benign_train(spark, sf_dir), DETECTOR_FEATURES, "row_id")
     return detector_scores(scorer, spark, sf_dir)
 
 
@@ -269,7 +269,7 @@ def l4(spark, sf_dir):
 
 @query("M20_detector_run")
 def m20(spark, sf_dir):
-    df = anomaly.run_detectors(marked(spark, sf_dir), DETECTOR_FEATURES, "row_id", caps={"local_outlier_factor": 2000}, trees=25)
+    df = anomaly.run_detectors(marked(spark, sf_dir), DETECTOR_FEATURES, "row_id")
     names = ("threshold", "accuracy", "precision", "recall", "f1_score", "roc_auc", "score_min", "score_max")
     return df.select("detector", "status", *[quantized(c).alias(c) for c in names])
 

@@ -396,6 +396,23 @@ def test_detectors_rank_outliers(spark):
     assert evaluate.roc_auc(found.join(df, "id"), "y", "score").first()["roc_auc"] > 0.9
 
 
+@pytest.mark.parametrize("name,target", [("M20_detector_run", "run_detectors"), ("L1_isolation_forest", "isolation_forest")])
+def test_detectors_run_with_the_published_settings(spark, monkeypatch, name, target):
+    """The registered query leaves rows and trees of the fits at the defaults of the operator."""
+    from flowlens.plans.catalog import QUERIES
+
+    class Called(Exception):
+        pass
+
+    def seen(*args, **settings):
+        raise Called(settings)
+
+    monkeypatch.setattr(anomaly, target, seen)
+    with pytest.raises(Called) as called:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert called.value.args == ({},)
+
+
 # ---- streams
 
 
