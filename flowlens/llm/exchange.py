@@ -6,6 +6,7 @@ instead of a row per number. A shard is a value of the `shard` column; Spark shu
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from flowlens.llm.kernels import mix
 from flowlens.session import cut_lineage, staging_path
 
 SHARDS_PER_PARTITION = 2
-FLUSH_ROWS = 4_000_000
+FLUSH_BYTES = 32 << 20
 
 
 def shard_count(spark: SparkSession) -> int:
@@ -67,24 +68,53 @@ def packed_schema(*names: str) -> str:
     return "shard int, " + ", ".join(f"{n} binary" for n in names)
 
 
+def release() -> None:
+    """Gives freed memory back to the system. A Python worker is used again by later tasks and would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function):
+    """`function` of mapInArrow or applyInArrow, with its memory released when the task or group is done."""
+
+    def run(given):
+        if isinstance(given, pa.Table):
+            release()  # the group before this one is gone by now
+            return function(given)
+        return _released(function(given))
+
+    return run
+
+
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 class Collector:
-    """Gathers arrays over the batches of a task and hands them on in bounded portions."""
+    """Gathers arrays over the batches of a task and hands them on in portions of about FLUSH_BYTES."""
 
-    def __init__(self, emit, limit: int = FLUSH_ROWS):
-        self.emit, self.limit, self.parts, self.n = emit, limit, [], 0
+    def __init__(self, emit, limit: int = FLUSH_BYTES):
+        self.emit, self.limit, self.parts, self.size = emit, limit, [], 0
 
     def add(self, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(arrays[0]):
             self.parts.append(arrays)
-            self.n += len(arrays[0])
-        if self.n >= self.limit:
+            self.size += sum(a.nbytes for a in arrays)
+        if self.size >= self.limit:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             joined = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
-            self.parts, self.n = [], 0
-            for batch in self.emit(*joined):
+            self.parts, self.size = [], 0
+            made = iter(self.emit(*joined))
+            del joined
+            for batch in made:
                 if batch is not None:
                     yield batch
 

@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlens.llm.exchange import give_rest, keep_rest
+from flowlens.llm.exchange import give_rest, keep_rest, tidy
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -264,4 +264,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column("_rest"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["_rest", *MADE])
 
-    return give_rest(kept.mapInArrow(run, f"_rest {rest}, text string, n_chars long"), *MADE)
+    return give_rest(kept.mapInArrow(tidy(run), f"_rest {rest}, text string, n_chars long"), *MADE)

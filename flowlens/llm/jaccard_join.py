@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
 from flowlens.llm.exchange import (
-    Collector, components, doc_shard, pack, packed_schema, reply_count, shard_count, shard_of, staged, unpack)
+    Collector, components, doc_shard, pack, packed_schema, reply_count, shard_count, shard_of, staged, tidy, unpack)
 
 WORDS_EACH = 5
 SHORT_LIST = 2
@@ -105,7 +105,7 @@ def _count_pass(batches, shards: int, words_each: int):
     def sizes(n, doc):
         yield _kind(pack(doc_shard(doc, shards), shards, {"token": n.astype(np.uint32), "doc": doc}), 2)
 
-    out, n_out = Collector(emit, 3_000_000), Collector(sizes)
+    out, n_out = Collector(emit), Collector(sizes)
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for i, tokens in shingle_sets(batch.column(1), words_each):
@@ -344,7 +344,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(
-        lambda it: _probe(it, percent), "a long, b long")
+        tidy(lambda it: _probe(it, percent)), "a long, b long")
 
 
 def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_EACH, short_list: int = SHORT_LIST) -> DataFrame:
@@ -354,15 +354,15 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
     texts = docs.select("doc_id", "text")
 
     def counted():
-        tokens = texts.mapInArrow(lambda it: _count_pass(it, shards, words_each), packed_schema("token", "doc") + ", kind byte")
+        tokens = texts.mapInArrow(tidy(lambda it: _count_pass(it, shards, words_each)), packed_schema("token", "doc") + ", kind byte")
         shared = tokens.groupBy("shard").applyInArrow(
-            lambda t: _count_shard(t, replies), "shard int, doc binary, n binary, kind byte")
-        return shared.groupBy("shard").applyInArrow(_count_documents, "_id long, n_shingles long, shared long")
+            tidy(lambda t: _count_shard(t, replies)), "shard int, doc binary, n binary, kind byte")
+        return shared.groupBy("shard").applyInArrow(tidy(_count_documents), "_id long, n_shingles long, shared long")
 
     counts = staged(counted, "shingle-counts", spark)
     open_ = counts.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("_id")
     sets = staged(lambda: texts.join(open_.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text").mapInArrow(
-        lambda it: _set_pass(it, words_each), "doc_id long, n long, s1 long, s2 long, tokens binary"), "shingle-sets", spark)
+        tidy(lambda it: _set_pass(it, words_each)), "doc_id long, n long, s1 long, s2 long, tokens binary"), "shingle-sets", spark)
 
     def members():
         names = sets.select("doc_id", "n", "s1", "s2").distinct()
@@ -375,20 +375,20 @@ def join_components(docs: DataFrame, percent: int = 80, words_each: int = WORDS_
         F.max(F.struct("n", "tokens")).alias("m")).select("doc_id", "m.n", "m.tokens"), "shingle-representatives", spark)
 
     def merge():
-        lists = reps.mapInArrow(lambda it: _list_pass(it, shards), packed_schema("key", "doc", "n"))
-        lists = lists.groupBy("shard").applyInArrow(lambda t: _lengths(t, replies), packed_schema("key", "doc", "n", "length"))
+        lists = reps.mapInArrow(tidy(lambda it: _list_pass(it, shards)), packed_schema("key", "doc", "n"))
+        lists = lists.groupBy("shard").applyInArrow(tidy(lambda t: _lengths(t, replies)), packed_schema("key", "doc", "n", "length"))
         lists = lists.groupBy("shard").applyInArrow(
-            lambda t: _shortest(t, shards, percent), packed_schema("key", "doc", "n", "place", "early"))
-        return lists.groupBy("shard").applyInArrow(lambda t: _merge_lists(t, percent, short_list), PAIRS)
+            tidy(lambda t: _shortest(t, shards, percent)), packed_schema("key", "doc", "n", "place", "early"))
+        return lists.groupBy("shard").applyInArrow(tidy(lambda t: _merge_lists(t, percent, short_list)), PAIRS)
 
     merged = staged(merge, "shingle-lists", spark)
     links = staged(lambda: _verified(merged.where("kind = 0").select("a", "b").distinct(), reps, percent), "shingle-links", spark)
 
     def crossing():
         near = components(links).withColumnRenamed("node", "a")
-        sketches = reps.select("doc_id", "tokens").mapInArrow(_sketches, "_id long, sketch binary")
+        sketches = reps.select("doc_id", "tokens").mapInArrow(tidy(_sketches), "_id long, sketch binary")
         across = long_entries(merged, near, sketches).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy(
-            "shard").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+            "shard").applyInArrow(tidy(lambda t: _across(t, percent)), "a long, b long")
         return _verified(across.distinct(), reps, percent)
 
     links = links.unionByName(staged(crossing, "shingle-crossing", spark))

@@ -25,15 +25,19 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 CHUNK_BYTES = 2 << 20
+KEPT_POWERS = 1 << 22  # longer tables serve one very long text and are not kept
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
-    if len(_powers[base]) < n:
+    made = _powers[base]
+    if len(made) < n:
         steps = np.full(max(n, 4096), base, np.uint64)
         steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
+        made = np.cumprod(steps, dtype=np.uint64)
+        if n <= KEPT_POWERS:
+            _powers[base] = made
+    return made[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

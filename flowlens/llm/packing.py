@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
-from flowlens.llm.exchange import staged
+from flowlens.llm.exchange import staged, tidy
 
 LENGTH = 2048
 END_ID = 1
@@ -281,7 +281,7 @@ def pack_documents(
     """
     spark = docs.sparkSession
     rows = staged(lambda: docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("_part")).mapInArrow(
-        lambda it: _pack_pass(it, tokenizer, length, end_id, open_windows, least_cut), DDL), "packed", spark)
+        tidy(lambda it: _pack_pass(it, tokenizer, length, end_id, open_windows, least_cut)), DDL), "packed", spark)
     names = [n for n, _ in FIELDS]
     out = rows.where("_group is null").select(names)
     open_ = rows.where("_group is not null")
@@ -291,7 +291,7 @@ def pack_documents(
 
         def merged(open_=open_, step=step, last=last):
             return open_.groupBy(F.floor(F.col("_group") / merge_parts)).applyInArrow(
-                lambda t: _merge_group(t, length, step, merge_parts, last), DDL)
+                tidy(lambda t: _merge_group(t, length, step, merge_parts, last)), DDL)
 
         rows = staged(merged, "packed-merge", spark)
         out = out.unionByName(rows.where("_group is null").select(names))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowlens.llm import kernels as K
-from flowlens.llm.exchange import give_rest, keep_rest
+from flowlens.llm.exchange import give_rest, keep_rest, tidy
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -133,6 +133,8 @@ def per_text(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def repeated_lines(data, offsets, sums, word_starts) -> np.ndarray:
     """Per text: lines with a word that equal an earlier line of the text."""
+    if not len(data):
+        return np.zeros(len(offsets) - 1, np.int64)
     cut = data == 10
     starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(cut) + 1]))
     starts = starts[starts < len(data)]
@@ -196,4 +198,4 @@ def score(docs: DataFrame, **rules) -> DataFrame:
 
     made = ", ".join(f"{n} {kinds.get(n, (None, 'long'))[1]}" for n in MADE)
     rest = kept.schema["_rest"].dataType.simpleString()
-    return give_rest(kept.mapInArrow(run, f"text string, _rest {rest}, {made}"), *MADE)
+    return give_rest(kept.mapInArrow(tidy(run), f"text string, _rest {rest}, {made}"), *MADE)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
 from flowlens.llm.exchange import (
-    Collector, doc_shard, give_rest, keep_rest, pack, packed_schema, reply_count, shard_count, shard_of, staged, unpack)
+    Collector, doc_shard, give_rest, keep_rest, pack, packed_schema, reply_count, shard_count, shard_of, staged, tidy, unpack)
 
 LENGTH = 50
 SEED = 24
@@ -310,28 +310,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with
 
     def answers():
         runs = docs.select("doc_id", "text").mapInArrow(
-            lambda it: _first_pass(it, shards, length, seed), packed_schema("seed", "low", "doc") + ", answered byte")
-        found = runs.groupBy("shard").applyInArrow(lambda t: _match_shard(t, replies), answer)
-        return found.groupBy("shard").applyInArrow(_per_document, per_document)
+            tidy(lambda it: _first_pass(it, shards, length, seed)), packed_schema("seed", "low", "doc") + ", answered byte")
+        found = runs.groupBy("shard").applyInArrow(tidy(lambda t: _match_shard(t, replies)), answer)
+        return found.groupBy("shard").applyInArrow(tidy(_per_document), per_document)
 
     answered = staged(answers, "repeat-answers", spark)
 
     def settled():
         joined = kept.join(answered.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
         return joined.mapInArrow(
-            lambda it: _second_pass(it, length, seed, with_text), f"{made}, _spans binary, _todo binary")
+            tidy(lambda it: _second_pass(it, length, seed, with_text)), f"{made}, _spans binary, _todo binary")
 
     half = staged(settled, "repeat-half", spark)
     pending = half.where("_todo is not null")
 
     def compared():
         strings = pending.select("doc_id", "text", "_todo").mapInArrow(
-            lambda it: _string_pass(it, shards, length), packed_schema("key", "doc") + ", answered byte")
-        found = strings.groupBy("shard").applyInArrow(lambda t: _match_strings(t, replies), answer)
-        return found.groupBy("shard").applyInArrow(_per_document, per_document)
+            tidy(lambda it: _string_pass(it, shards, length)), packed_schema("key", "doc") + ", answered byte")
+        found = strings.groupBy("shard").applyInArrow(tidy(lambda t: _match_strings(t, replies)), answer)
+        return found.groupBy("shard").applyInArrow(tidy(_per_document), per_document)
 
     found = staged(compared, "repeat-strings", spark)
     last = pending.select("doc_id", "text", "_rest", "_spans", "_todo").join(found.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    last = last.mapInArrow(lambda it: _last_pass(it, length, with_text), made)
+    last = last.mapInArrow(tidy(lambda it: _last_pass(it, length, with_text)), made)
     done = half.where("_todo is null").drop("_spans", "_todo")
     return give_rest(done.unionByName(last), "text", *MADE)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowlens.llm import kernels as K
-from flowlens.llm.exchange import give_rest, keep_rest
+from flowlens.llm.exchange import give_rest, keep_rest, tidy
 from flowlens.llm.packing import distinct
 
 CACHED_WORDS = 600_000
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             made = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)] or [pa.array([], pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("_rest"), *made], ["text", "_rest", *MADE])
 
-    return give_rest(kept.mapInArrow(run, f"text string, _rest {rest}, n_words long, n_tokens long"), *MADE)
+    return give_rest(kept.mapInArrow(tidy(run), f"text string, _rest {rest}, n_words long, n_tokens long"), *MADE)

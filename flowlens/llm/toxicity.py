@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import kernels as K
-from flowlens.llm.exchange import give_rest, keep_rest
+from flowlens.llm.exchange import give_rest, keep_rest, tidy
 
 BITS = 20
 BEGINNINGS = (3, 4, 5, 6)  # bytes
@@ -317,4 +317,4 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> Data
                 ["text", "_rest", *MADE])
 
     made = "score double, n_toxic_tokens long, spans array<struct<start:bigint,end:bigint>>"
-    return give_rest(kept.mapInArrow(run, f"text string, _rest {rest}, {made}"), *MADE)
+    return give_rest(kept.mapInArrow(tidy(run), f"text string, _rest {rest}, {made}"), *MADE)

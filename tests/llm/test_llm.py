@@ -173,6 +173,17 @@ def test_quality_against_brute_force(docs, empty):
     assert found.count() == len(cases()) and {"source", "size"} <= set(found.columns) and quality.score(empty).count() == 0
 
 
+def test_quality_of_batches_without_text(spark):
+    """A partition of null and empty texts, and empty texts behind one that fills a chunk."""
+    long_ = prose(9, 500_000)
+    rows = [(1, None), (2, ""), (3, long_), (4, ""), (5, None)]
+    found = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert len(long_) > K.CHUNK_BYTES and found[3].n_words == 500_000
+    assert all(found[d].n_words == 0 and found[d].base_failed and not found[d].kept for d in (1, 2, 4, 5))
+    bare = quality.score(spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1))
+    assert [r.n_dup_lines for r in bare.collect()] == [0, 0]
+
+
 def test_packing_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
