@@ -163,7 +163,7 @@ def _scans(spark: SparkSession, folder: str, source: str) -> tuple[list[tuple[Da
     parts = []
     for (charset, delimiter, names), paths in groups.items():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, REJECTED)])
-        bare = F.regexp_replace(F.col(REJECTED), '"([^"]|"")*"', "")
+        bare = F.regexp_replace(F.col(REJECTED), '"[^"]*"', "")  # a doubled quote is where two quoted parts meet
         fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
         parsed = F.length(F.concat_ws("", names[0])) >= 0  # always true; Spark refuses scans of the raw line alone
         scan = spark.read.schema(schema).option("columnPruning", "false").csv(

@@ -443,6 +443,15 @@ def test_ingestion_loses_nothing_unsaid(spark, tmp_path):
     assert lines == {("a.csv", "5,6,7", 2), ("a.csv", "8,9,,10", 2)}
 
 
+def test_long_quoted_field_in_a_line_with_too_many_fields(spark, tmp_path):
+    from flowlens.sources import csv_files
+
+    long_ = 'x,""' * 250_000
+    (tmp_path / "a.csv").write_text(f'a,b\n1,2\n3,"{long_}"\n4,"{long_}",5\n')
+    assert [len(r.b) for r in csv_files.read_files(spark, str(tmp_path)).orderBy("a").collect()] == [1, 750_000]
+    assert [len(r.line) for r in csv_files.rejected_lines(spark, str(tmp_path)).collect()] == [1_000_006]
+
+
 def test_workers_have_the_package(tmp_path):
     import os
     import subprocess
