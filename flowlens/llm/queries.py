@@ -208,3 +208,143 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.llm.chat import render
 
     return render(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(8 * octet_length(encode({text}))),
+  lambda k: get_bit(encode({text})::bit, (8 * (k // 8) + 7 - k % 8)::int)::bigint)),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+
+OP11_SQL = rf"""
+with t as (
+  select 0 as kind, doc_id as id, text from documents
+  union all select 1, row_number() over (), text from benchmark),
+w as (
+  select kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from t),
+f as (
+  select kind, id, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) as g
+  from w, (values (1), (2), (3)) as v(n)),
+grams as (select kind, id, g, count(*) as n from f group by 1, 2, 3),
+hashed as (select g, {crc32_sql("g")} % 10000 as bucket from (select distinct g from grams)),
+counted as (
+  select bucket, coalesce(sum(n) filter (kind = 0), 0)::double as s, coalesce(sum(n) filter (kind = 1), 0)::double as t
+  from grams join hashed using (g) group by 1),
+totals as (select sum(s) as all_s, sum(t) as all_t from counted),
+gains as (
+  select bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint as gain from counted, totals),
+summed as (
+  select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight
+  from grams join hashed using (g) join gains using (bucket) where kind = 0 group by 1),
+scored as (
+  select id as doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id::varchar), 1, 8))::bigint::double + 0.5)
+      / 4294967296.0)))::bigint as score
+  from w left join summed using (id) where kind = 0),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as total from scored where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when place <= 5 * total // 100 then place end as rank
+from scored s left join ranked using (doc_id)
+"""
+
+
+@query("op11_target_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.target_resampling import rank
+
+    return rank(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents),
+e as (
+  select *, coalesce(lead(doc_id) over o, min(doc_id) over ()) as next_id,
+    coalesce(lead(text) over o, first_value(text) over (order by doc_id)) as next_text
+  from d window o as (order by doc_id)),
+x as (select *, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) as edited from e),
+w as (
+  select doc_id, kind, coalesce(regexp_extract_all(t, '{WORD}'), []) as ws
+  from (select doc_id, 0 as kind, text as t from x union all select doc_id, 1, edited from x)),
+s as (
+  select doc_id, kind, md5(array_to_string(ws[i : i + 4], ' ')) as h
+  from (select *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
+own as (select doc_id, kind, ('0x' || substr(h, 1, 2))::int as bin, min(h) as h from s group by 1, 2, 3),
+bins as (
+  select j, ('0x' || substr(md5('a' || j), 1, 4))::int + 1 as a, ('0x' || substr(md5('b' || j), 1, 4))::int as b from range(256) r(j)),
+every as (select doc_id, kind, j, a, b from (select distinct doc_id, kind from own), bins),
+holes as (select e.* from every e left join own o on o.doc_id = e.doc_id and o.kind = e.kind and o.bin = e.j where o.h is null),
+lent as (
+  select l.doc_id, l.kind, l.j as bin, arg_min(o.h, (l.a * o.bin + l.b) % 65537) as h
+  from holes l join own o on o.doc_id = l.doc_id and o.kind = l.kind group by 1, 2, 3),
+prints as (
+  select doc_id, kind, string_agg(right(h, 1), '' order by bin) as print
+  from (select * from own union all select * from lent) group by 1, 2),
+joined as (
+  select x.doc_id, x.n_chars, sha256(x.edited) as edited_sha256, coalesce(p.print, '') as fingerprint,
+    coalesce(q.print, '') as edited_fingerprint, coalesce(r.print, '') as next_fingerprint
+  from x left join prints p on p.doc_id = x.doc_id and p.kind = 0 left join prints q on q.doc_id = x.doc_id and q.kind = 1
+    left join prints r on r.doc_id = x.next_id and r.kind = 0),
+alike as (
+  select *, len(list_filter(range(1, 257), lambda k: fingerprint[k] = edited_fingerprint[k])) as m_edited,
+    len(list_filter(range(1, 257), lambda k: fingerprint[k] = next_fingerprint[k])) as m_next from joined)
+select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  case when fingerprint = edited_fingerprint then 1 when '' in (fingerprint, edited_fingerprint) then 0
+    else greatest((m_edited / 16.0::double - 1) / 15, 0) end::double as near_edited,
+  case when fingerprint = next_fingerprint then 1 when '' in (fingerprint, next_fingerprint) then 0
+    else greatest((m_next / 16.0::double - 1) / 15, 0) end::double as near_next
+from alike
+"""
+
+
+@query("op12_document_fingerprints", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.fingerprints import with_edits
+
+    return with_edits(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+# A run's words q apart are equal for at least 24 - q or 2 q places on end, so equal 8-word windows q apart find all of it.
+OP13_SQL = rf"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as ws, {crc32_sql("doc_id::varchar")} as h from documents),
+g as (select *, len(ws) as n, (h // 10) % len(ws) as a, 3 + (h // 10) % 8 as k from d),
+w as (
+  select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i:
+      ws[(case when i < a then i else a + (i - a) % (1 + (n - a) // k) end + 1)::bigint]) else ws end as ws from g),
+places as (select doc_id, n, ws, unnest(range(0, n - 7)) as i from w where n >= 24),
+grams as (select doc_id, n, i, md5(array_to_string(ws[i + 1 : i + 8], ' ')) as gram from places),
+pairs as (
+  select x.doc_id, x.i, y.i - x.i as q from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i
+  where 3 * (y.i - x.i) <= x.n),
+islands as (select *, i - row_number() over (partition by doc_id, q order by i) as island from pairs),
+found as (
+  select doc_id, q, min(i) as start, max(i) + 8 + q as stop from islands group by doc_id, q, island
+  having max(i) + 8 + q - min(i) >= greatest(24, 3 * q)),
+runs as (select doc_id, start, stop - start as length, min(q) as period from found group by doc_id, start, stop),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by 1),
+best as (
+  select * from runs r where not exists (
+    select 1 from runs o where o.doc_id = r.doc_id and (o.length * r.period > r.length * o.period
+      or (o.length * r.period = r.length * o.period and (o.start, o.period) < (r.start, r.period))))),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+dropped as (select doc_id, list(i) as words_at from gone group by 1)
+select w.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256,
+  sha256(array_to_string(case when words_at is null then ws
+    else list_transform(list_filter(range(w.n), lambda i: not list_contains(words_at, i)), lambda i: ws[(i + 1)::bigint]) end, ' ')) as collapsed_sha256
+from w left join listed using (doc_id) left join best using (doc_id) left join dropped using (doc_id)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm.periodic_runs import find_runs
+
+    return find_runs(documents(spark, sf_dir, "doc_id", "text"), edit=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
