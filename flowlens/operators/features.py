@@ -156,26 +156,37 @@ def engineer(df: DataFrame, windows: Sequence[int] = WINDOWS, block_rows: int =
     return finite_frame(add_rolling(out, windows, block_rows=block_rows), 0.0, quotients)
 
 
-def sequences(
+def with_sequence(
     df: DataFrame,
     features: Sequence[str],
     length: int = SEQUENCE_LENGTH,
-    stride: int = 1,
     source: str = "source_file",
     order_col: str = "row_id",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """`sequence`: the feature arrays of the last `length` rows of the source, oldest first.
-
-    Rows with a shorter history are left out; with a stride, only every stride-th full window is kept.
-    """
+    """`_idx` (number of the row in its source) and `sequence`: the feature arrays of the last `length` rows of the source, oldest
+    first; null for rows with a shorter history."""
     packed = df.withColumn("_f", F.array(*[F.col(f).cast("double") for f in features]))
     spread = with_halo(packed, source, order_col, length - 1, block_rows)
     frame = Window.partitionBy(source, "_part").orderBy("_idx").rowsBetween(-(length - 1), 0)
-    full = spread.withColumn("sequence", F.collect_list("_f").over(frame)).where(F.col("_idx") >= length)
+    full = spread.withColumn("sequence", F.when(F.col("_idx") >= length, F.collect_list("_f").over(frame)))
+    return full.where(~F.col("_halo")).drop("_halo", "_part", "_f")
+
+
+def sequences(
+    df: DataFrame,
+    features: Sequence[str],
+    length: int = SEQUENCE_LENGTH,
+    stride: int = 1,
+    source: str = "source_file",
+    order_col: str = "row_id",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The rows with a full history and their `sequence`; with a stride, only every stride-th of them is kept."""
+    full = with_sequence(df, features, length, source, order_col, block_rows).where(F.col("_idx") >= length)
     if stride > 1:
         full = full.where((F.col("_idx") - length) % stride == 0)
-    return drop_halo(full).drop("_f")
+    return full.drop("_idx")
 
 
 def select_features(df: DataFrame, features: Sequence[str],

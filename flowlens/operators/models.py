@@ -17,49 +17,51 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.operators.ensemble import argmax_label
-
-INTERNAL = ["_features", "_scaled", "rawPrediction", "probability", "prediction"]
-
+from flowlens.operators.stages import ClassProbabilities, Doubles, SequenceVector
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted pipeline; `labels[i]` is the class of probability i."""
+    """A fitted pipeline that ends in `ClassProbabilities`: its last stage knows name, labels and feature order."""
 
-    name: str
     pipeline: PipelineModel
-    labels: tuple
-    features: tuple
+
+    @property
+    def _last(self) -> ClassProbabilities:
+        return self.pipeline.stages[-1]
+
+    @property
+    def name(self) -> str:
+        return self._last.get("name")
+
+    @property
+    def labels(self) -> tuple:
+        return tuple(self._last.get("labels"))
+
+    @property
+    def features(self) -> tuple:
+        return tuple(self._last.get("features"))
+
+    @property
+    def classifier(self):
+        return self.pipeline.stages[-2]
 
     def score(self, df: DataFrame, out: str | None = None) -> DataFrame:
         """Adds the probability array. Works on streaming tables too."""
-        out = out or f"p_{self.name}"
-        scored = self.pipeline.transform(_doubles(df, self.features))
-        if "probability" in scored.columns:
-            made = vector_to_array("probability")
-        else:
-            raw = vector_to_array("rawPrediction")
-            top = F.array_max(raw)
-            weights = F.transform(raw, lambda r: F.exp(r - top))
-            total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-            made = F.transform(weights, lambda w: w / total)
-        return scored.withColumn(out, made).select(*df.columns, out)
+        scored = self.pipeline.transform(df)
+        return scored.withColumnRenamed(self._last.out(), out) if out else scored
 
     def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
-        probability = f"p_{self.name}"
-        return self.score(df).withColumn(out, argmax_label(probability, self.labels))
+        return self.score(df).withColumn(out, argmax_label(self._last.out(), self.labels))
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
 
-
-def _doubles(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    wrong = [f.name for f in df.schema if f.name in features and f.dataType.simpleString() in
-             ("int", "bigint", "smallint", "tinyint", "float")]
-    return df.withColumns({c: F.col(c).cast("double") for c in wrong}) if wrong else df
+    @staticmethod
+    def load(path: str) -> Model:
+        return Model(PipelineModel.load(path))
 
 
 def class_index(target: str, labels: Sequence) -> Column:
@@ -71,8 +73,10 @@ def _fit(name, train: DataFrame, features, target, labels, estimator, scaled: bo
     stages = [VectorAssembler(inputCols=list(features), outputCol="_features")]
     if scaled:
         stages.append(StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True))
-    data = _doubles(train.select(*features, class_index(target, labels).alias("_y")), features)
-    return Model(name, Pipeline(stages=[*stages, estimator]).fit(data), tuple(labels), tuple(features))
+    data = train.select(*features, class_index(target, labels).alias("_y"))
+    fitted = Pipeline(stages=[Doubles(names=list(features)), *stages, estimator]).fit(data)
+    last = ClassProbabilities(name=name, labels=[int(v) for v in labels], features=list(features))
+    return Model(PipelineModel([*fitted.stages, last]))
 
 
 def logistic(train, features, target, labels, c: float = 1.0, max_iter: int = 1000) -> Model:
@@ -105,33 +109,19 @@ def dense(train, features, target, labels, hidden: Sequence[int] = (256, 128, 64
     return _fit("dense", train, features, target, labels, est, True)
 
 
-@dataclass(frozen=True)
-class SequenceModel:
-    """Classifier over flattened feature sequences; rows with a short history get the class priors."""
-
-    pipeline: PipelineModel
-    labels: tuple
-    priors: tuple
-
-    def score(self, df: DataFrame, sequence: str = "sequence", out: str = "p_sequence") -> DataFrame:
-        """`sequence` is null or an array of feature arrays."""
-        ready = df.where(F.col(sequence).isNotNull())
-        scored = self.pipeline.transform(ready.withColumn("_features", array_to_vector(F.flatten(sequence))))
-        full = scored.withColumn(out, vector_to_array("probability")).select(*df.columns, out)
-        short = df.where(F.col(sequence).isNull()).withColumn(out, F.array(*[F.lit(float(p)) for p in self.priors]))
-        return full.unionByName(short)
-
-
 def sequence_model(windows: DataFrame, target: str, labels: Sequence, priors: Sequence[float], steps: int, width: int,
-                   hidden: Sequence[int] = (128, 64), max_iter: int = 60, seed: int = 42,
-                   sequence: str = "sequence") -> SequenceModel:
-    data = windows.select(array_to_vector(F.flatten(sequence)).alias("_features"), class_index(target, labels).alias("_y"))
+                   hidden: Sequence[int] = (128, 64), max_iter: int = 60, seed: int = 42, sequence: str = "sequence") -> Model:
+    """Classifier over flattened feature sequences; rows with a short history (no sequence) get the class priors."""
     stages = [
+        SequenceVector(sequence=sequence, width=steps * width),
         StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True),
         MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol="_y", seed=seed, maxIter=max_iter,
                                        layers=[steps * width, *hidden, len(labels)]),
     ]
-    return SequenceModel(Pipeline(stages=stages).fit(data), tuple(labels), tuple(priors))
+    fitted = Pipeline(stages=stages).fit(windows.select(sequence, class_index(target, labels).alias("_y")))
+    last = ClassProbabilities(name="sequence", labels=[int(v) for v in labels], features=[sequence], guard=sequence,
+                              priors=[float(p) for p in priors])
+    return Model(PipelineModel([*fitted.stages, last]))
 
 
 def stacking(calibration: DataFrame, inputs: Sequence[str], target: str, labels: Sequence, c: float = 1.0,
@@ -151,7 +141,7 @@ def spread_probabilities(df: DataFrame, columns: Sequence[str], classes: int) ->
 
 def native_importance(model: Model, spark, task: str, class_names: dict | None = None) -> DataFrame:
     """Importances of a tree model, or absolute coefficients: their mean over classes and one row per class."""
-    fitted = model.pipeline.stages[-1]
+    fitted = model.classifier
     rows: list[tuple] = []
     if hasattr(fitted, "featureImportances"):
         values = fitted.featureImportances.toArray()
@@ -210,13 +200,3 @@ def shapley(
     return gained.groupBy(F.col("_id").alias(id_col), "feature_name").agg(
         F.avg("_gain").alias("contribution"), F.avg("base_value").alias("base_value"),
         F.avg("explained_value").alias("explained_value"))
-
-
-def metrics_summary(runs: dict[tuple[str, str], DataFrame]) -> DataFrame:
-    """task, model, status and the metric columns of each run."""
-    out = None
-    for (task, name), metrics in runs.items():
-        row = metrics.select(F.lit(task).alias("task"), F.lit(name).alias("model"), F.lit("trained").alias("status"),
-                             "accuracy", "precision", "recall", "f1_score", "roc_auc")
-        out = row if out is None else out.unionByName(row)
-    return out
