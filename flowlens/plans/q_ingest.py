@@ -94,6 +94,34 @@ def a5_rows(spark, sf_dir):
                   F.countDistinct("_rid").alias("distinct_ids"))
 
 
+def quoted_csv(spark, sf_dir) -> str:
+    """Flows with a note of several lines and doubled quotes, as CSV."""
+    folder = staging_path(spark, "csv-quoted")
+    note = F.concat_ws("\n", "label", F.concat(F.lit('say "'), F.col("row_id").cast("string"), F.lit('", again')), F.lit("end"))
+    view(spark, sf_dir, "flows").select("row_id", note.alias("Note"), "flow_duration").write.csv(folder, header=True, escape='"', quoteAll=True)
+    return folder
+
+
+@query("A5_quoted_breaks", oracle("flows", """
+select cast(row_id as string) as original_row, label || chr(10) || 'say "' || row_id || '", again' || chr(10) || 'end' as note,
+  cast(flow_duration as string) as flow_duration from flows"""))
+def a5_quoted(spark, sf_dir):
+    """Line breaks inside quotes, read by byte ranges far smaller than a file."""
+    df = csv_files.read_files(spark, quoted_csv(spark, sf_dir), row_id="_rid", range_bytes=64 << 10)
+    return df.select(F.col("row_id").alias("original_row"), "note", "flow_duration")
+
+
+@query("A7_ingestion_report", oracle("flows", """
+select count(*) as total_rows, cast(7 as int) as total_columns, true as schema_mismatch, cast(0 as bigint) as rejected,
+  cast(5 as int) as fewest_columns, cast(6 as int) as most_columns, 'idle_mean' as missing_columns from flows"""))
+def a7_report(spark, sf_dir):
+    """The report over files of three makes; one make has a column that the others lack."""
+    df = csv_files.ingestion_report(spark, staged_csv(spark, sf_dir))
+    return df.groupBy("total_rows", "total_columns", "schema_mismatch").agg(
+        F.sum("rejected").alias("rejected"), F.min("columns").alias("fewest_columns"), F.max("columns").alias("most_columns"),
+        F.max("missing_columns").alias("missing_columns"))
+
+
 @query("A6_combined_sink", oracle("flows", "select row_id, source_file, flow_duration, label from flows"))
 def a6(spark, sf_dir):
     path = staging_path(spark, "combined")

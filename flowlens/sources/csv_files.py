@@ -8,16 +8,16 @@ import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from flowlens.session import ship_package
+from flowlens.functions.local import local_table
+from flowlens.session import staging_path
+from flowlens.sources import byte_ranges
 
 SAMPLE = 16_384  # bytes that the delimiter is judged by; the header and the encoding are judged by all that matters to them
-CHUNK = 4 << 20
 REJECTED = "_rejected"
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
-DELIMITERS = ",;\t|"
+DELIMITERS = byte_ranges.DELIMITERS
 # Names of the encodings as the JVM knows them.
 JVM_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
 
@@ -33,26 +33,6 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.orderBy("file_name")
 
 
-def read_whole(stream, candidates: Sequence[str] = ENCODINGS) -> tuple[str, bytes]:
-    """The first candidate that decodes the whole stream, and the bytes up to the end of its first line, SAMPLE at least."""
-    decoders = {name: codecs.getincrementaldecoder(name)() for name in candidates}
-    head, in_head = b"", True
-    while True:
-        part = stream.read(CHUNK)
-        for name in list(decoders):
-            try:
-                decoders[name].decode(part, final=not part)
-            except UnicodeDecodeError:
-                del decoders[name]
-        if not part:
-            return next((name for name in candidates if name in decoders), candidates[-1]), head
-        if in_head:
-            head += part
-            end = head.find(b"\n", 0)
-            if end >= 0:
-                head, in_head = head[:max(end + 1, SAMPLE)], False
-
-
 def pick_encoding(head: bytes, candidates: Sequence[str] = ENCODINGS) -> str:
     """The first candidate that decodes the sample; a character cut at its end does not count."""
     for name in candidates:
@@ -84,25 +64,31 @@ def raw_header(text: str, delimiter: str) -> list[str]:
     return names
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, name in zip(pdf["path"], pdf["file_name"]):
-            store, inner = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(inner) as f:
-                encoding, head = read_whole(f)
-            text = codecs.getincrementaldecoder(encoding)("replace").decode(head)
-            delimiter = pick_delimiter(text)
-            rows.append((path, name, encoding, delimiter, raw_header(text, delimiter)))
-        yield pd.DataFrame(rows, columns=["path", "file_name", "encoding", "delimiter", "header"])
+def scan_files(spark: SparkSession, folder: str, range_bytes: int = byte_ranges.RANGE_BYTES) -> DataFrame:
+    """What every byte range of every file says about its file; a large file is judged by as many tasks as it has ranges."""
+    path = staging_path(spark, "file-ranges")
+    byte_ranges.scan(list_files(spark, folder).select("path", "file_name", "length"), SAMPLE, range_bytes).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def profile_files(spark: SparkSession, folder: str, range_bytes: int = byte_ranges.RANGE_BYTES) -> DataFrame:
+    """path, file_name, encoding, delimiter, header of every file: the encoding by all bytes, the rest by the first record."""
+    return profiles_of(scan_files(spark, folder, range_bytes))
+
 
+def profiles_of(scanned: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                encoding = "utf-8-sig" if r.utf8 else "cp1252" if r.cp1252 else "latin-1"
+                text = codecs.getincrementaldecoder(encoding)("replace").decode(r.head or b"")
+                delimiter = pick_delimiter(text)
+                rows.append((r.path, r.file_name, encoding, delimiter, raw_header(text, delimiter)))
+            yield pd.DataFrame(rows, columns=["path", "file_name", "encoding", "delimiter", "header"])
 
-def profile_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, file_name, encoding, delimiter, header: each task streams its files once."""
-    ship_package(spark)
-    paths = list_files(spark, folder).select("path", "file_name")
-    return paths.mapInPandas(
-        _profile, "path string, file_name string, encoding string, delimiter string, header array<string>")
+    return byte_ranges.judged(scanned).mapInPandas(
+        run, "path string, file_name string, encoding string, delimiter string, header array<string>")
 
 
 def header_table(profiles: DataFrame) -> DataFrame:
@@ -120,34 +106,62 @@ def _normalized(spark: SparkSession, profiles: DataFrame) -> dict[str, list[str]
     return {f: [name for _, name in sorted(cols)] for f, cols in out.items()}
 
 
-def read_files(spark: SparkSession, folder: str, source: str = "source_file", row_id: str = "row_id") -> DataFrame:
+def read_files(spark: SparkSession, folder: str, source: str = "source_file", row_id: str = "row_id",
+               range_bytes: int = byte_ranges.RANGE_BYTES) -> DataFrame:
     """All files as one text table with the union of their columns, the source file and a row id.
 
     Files of equal encoding, delimiter and header are one scan. A line with fewer fields than the header is filled with
-    nulls; one with more is left out here and listed by `rejected_lines`. Quoted line breaks are not supported, so that
-    large files can be split.
+    nulls; one with more is left out here and listed by `rejected_lines`. Files with line breaks inside quotes are read in byte ranges
+    by the state of their quotes, all others by Spark's reader.
     """
-    parts, union = _scans(spark, folder, source)
+    parts, union = _scans(spark, folder, source, range_bytes)
     whole = None
     for scan, _ in parts:
-        part = scan.where(~F.col("_too_many")).drop(REJECTED, "_too_many")
+        part = scan.where(F.col(REJECTED).isNull()).drop(REJECTED)
         whole = part if whole is None else whole.unionByName(part, allowMissingColumns=True)
     return number_rows(whole, source, row_id).select(row_id, *[c for c in union if c != source], source)
 
 
-def rejected_lines(spark: SparkSession, folder: str, source: str = "source_file") -> DataFrame:
+def rejected_lines(spark: SparkSession, folder: str, source: str = "source_file",
+                   range_bytes: int = byte_ranges.RANGE_BYTES) -> DataFrame:
     """source_file, line, expected: the lines with more fields than their file's header."""
-    parts, _ = _scans(spark, folder, source)
+    parts, _ = _scans(spark, folder, source, range_bytes)
     out = None
     for scan, names in parts:
-        part = scan.where("_too_many").select(source, F.col(REJECTED).alias("line"), F.lit(len(names)).alias("expected"))
+        part = scan.where(F.col(REJECTED).isNotNull()).select(source, F.col(REJECTED).alias("line"), F.lit(len(names)).alias("expected"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scans(spark: SparkSession, folder: str, source: str) -> tuple[list[tuple[DataFrame, tuple[str, ...]]], list[str]]:
-    """One scan per encoding, delimiter and header, with the raw line where its number of fields differs, and all columns."""
-    profiles = profile_files(spark, folder).collect()  # one row per file
+def ingestion_report(spark: SparkSession, folder: str, source: str = "source_file",
+                     range_bytes: int = byte_ranges.RANGE_BYTES) -> DataFrame:
+    """Per file: rows, rejected lines, columns, and what it lacks of the columns of all files; with the totals of the run beside."""
+    parts, union = _scans(spark, folder, source, range_bytes)
+    canonical = [c for c in union if c != source]
+    out = None
+    for scan, names in parts:
+        missing = [c for c in canonical if c not in names]
+        part = scan.groupBy(source).agg(
+            F.count_if(F.col(REJECTED).isNull()).alias("rows"), F.count_if(F.col(REJECTED).isNotNull()).alias("rejected")).select(
+            source, "rows", "rejected", F.lit(len(names)).alias("columns"), F.lit(",".join(missing)).alias("missing_columns"))
+        out = part if out is None else out.unionByName(part)
+    every = Window.partitionBy(F.lit(0))  # one row per file
+    return out.select(
+        "*", F.sum("rows").over(every).alias("total_rows"), F.lit(len(canonical) + 1).alias("total_columns"),
+        (F.max((F.col("missing_columns") != "").cast("int")).over(every) == 1).alias("schema_mismatch"))
+
+
+def _scans(spark: SparkSession, folder: str, source: str,
+           range_bytes: int) -> tuple[list[tuple[DataFrame, tuple[str, ...]]], list[str]]:
+    """One scan per encoding, delimiter, header and kind of reader, and all columns. In `REJECTED` a scan has the raw line where it has
+    too many fields, else null."""
+    scanned = scan_files(spark, folder, range_bytes)
+    stored = staging_path(spark, "file-profiles")
+    profiles_of(scanned).write.parquet(stored)
+    profiled = spark.read.parquet(stored)
+    ranges = byte_ranges.first_states(scanned, profiled)
+    broken = {r["path"] for r in ranges.groupBy("path").agg(F.sum("breaks").alias("n")).where("n > 0").collect()}
+    profiles = profiled.collect()  # one row per file
     if any(JVM_CHARSETS[p["encoding"]] == "windows-1252" for p in profiles):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     table = spark.createDataFrame(
@@ -155,26 +169,34 @@ def _scans(spark: SparkSession, folder: str, source: str) -> tuple[list[tuple[Da
     columns = _normalized(spark, table)
     groups: dict[tuple, list[str]] = {}
     for p in profiles:
-        key = (JVM_CHARSETS[p["encoding"]], p["delimiter"], tuple(columns[p["file_name"]]))
+        key = (p["encoding"], p["delimiter"], tuple(columns[p["file_name"]]), p["path"] in broken)
         groups.setdefault(key, []).append(p["path"])
     union: list[str] = []
     for p in sorted(profiles, key=lambda p: p["file_name"]):
         union += [c for c in columns[p["file_name"]] if c not in union]
     parts = []
-    for (charset, delimiter, names), paths in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, REJECTED)])
-        bare = F.regexp_replace(F.col(REJECTED), '"[^"]*"', "")  # a doubled quote is where two quoted parts meet
-        fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-        parsed = F.length(F.concat_ws("", names[0])) >= 0  # always true; Spark refuses scans of the raw line alone
-        scan = spark.read.schema(schema).option("columnPruning", "false").csv(
-            paths, sep=delimiter, encoding=charset, header=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord=REJECTED)
-        scan = scan.select(
-            "*", F.coalesce((fields > len(names)) & parsed, F.lit(False)).alias("_too_many"), F.col("_metadata.file_name").alias(source),
-            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
-        parts.append((scan, names))
+    for (encoding, delimiter, names, quoted), paths in groups.items():
+        if quoted:
+            named = local_table(spark, [(p,) for p in paths], "path string")
+            scan = byte_ranges.parse(ranges.join(F.broadcast(named), "path"), encoding, delimiter, names)
+            parts.append((scan.withColumnsRenamed({"file_name": source, "line": REJECTED}), names))
+        else:
+            parts.append((_plain_scan(spark, paths, JVM_CHARSETS[encoding], delimiter, names, source), names))
     return parts, union
 
 
+def _plain_scan(spark: SparkSession, paths: Sequence[str], charset: str, delimiter: str, names: Sequence[str], source: str) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, REJECTED)])
+    bare = F.regexp_replace(F.col(REJECTED), '"[^"]*"', "")  # a doubled quote is where two quoted parts meet
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    parsed = F.length(F.concat_ws("", names[0])) >= 0  # always true; Spark refuses scans of the raw line alone
+    scan = spark.read.schema(schema).option("columnPruning", "false").csv(
+        list(paths), sep=delimiter, encoding=charset, header=True, mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord=REJECTED)
+    return scan.select(
+        *names, F.when((fields > len(names)) & parsed, F.col(REJECTED)).alias(REJECTED), F.col("_metadata.file_name").alias(source),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+
+
 def number_rows(df: DataFrame, source: str, row_id: str) -> DataFrame:
     """Dense row id by source file, split start and place within the split.
 
