@@ -8,14 +8,16 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import PCA
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.local import local_table
-from flowlens.operators.ordering import value_prefix
+from flowlens.operators.ordering import BLOCK_ROWS, value_prefix
 from flowlens.operators.transform import assemble, fit_scaler, scale
+from flowlens.session import cut_lineage
 
 CORRELATION_LIMIT = 0.98
 BINS = 10
+NEIGHBORS = 3
 TOP_INFORMATION = 60
 KEEP_FEATURES = 30
 DROP_SHARE = 0.2
@@ -49,8 +51,7 @@ def kept_features(features: Sequence[str], dropped: DataFrame) -> list[str]:
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = BINS) -> DataFrame:
     """feature, score in nats, from equal-frequency bins. Equal values share a bin.
 
-    Approximates the reference's neighbour-based estimate. Values are counted per class before anything is
-    ranked, so repeated values cost nothing.
+    A plainer form of `neighbour_information`. Values are counted per class before anything is ranked, so repeated values cost nothing.
     """
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     cell_counts = df.select(F.col(target).alias("c"), F.inline(cells)).groupBy("feature", "value", "c").agg(
@@ -70,6 +71,68 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     return full.groupBy("feature").agg(F.sum(term).alias("score"))
 
 
+def digamma(n: Column) -> Column:
+    """Logarithmic derivative of the gamma function at a positive number, by its expansion at n + 6."""
+    x = n.cast("double") + 6.0
+    ahead = F.log(x) - 0.5 / x - 1.0 / (12.0 * x * x) + 1.0 / (120.0 * F.pow(x, F.lit(4.0))) - 1.0 / (252.0 * F.pow(x, F.lit(6.0)))
+    for i in range(6):
+        ahead = ahead - 1.0 / (n.cast("double") + float(i))
+    return ahead
+
+
+def _reach(rows: DataFrame, neighbors: int, block_rows: int) -> DataFrame:
+    """`radius`: distance of each value to the `neighbors`-th other row of its class. `rows`: feature, c, value, n (rows of the class
+    with the value), nc (rows of the class), place (number of the value in its class).
+
+    A class is cut into blocks of values; a block also sees the values next to it.
+    """
+    at, width = F.col("place") % block_rows, F.lit(block_rows)
+    block = F.floor(F.col("place") / width)
+    sides = F.array_compact(F.array(F.lit(0), F.when(at < neighbors, F.lit(-1)), F.when(at >= block_rows - neighbors, F.lit(1))))
+    seen = rows.withColumn("_side", F.explode(sides)).withColumn("_block", block + F.col("_side"))
+    order = Window.partitionBy("feature", "c", "_block").orderBy("value")
+    others = [F.when(side("value", i).over(order).isNotNull(), F.struct(
+        F.abs(side("value", i).over(order) - F.col("value")).alias("d"), side("n", i).over(order).alias("n")))
+        for i in range(1, neighbors + 1) for side in (F.lag, F.lead)]
+    wanted = F.least(F.lit(neighbors), F.col("nc") - 1) - (F.col("n") - 1)
+    near = seen.withColumn("_others", F.sort_array(F.array_compact(F.array(*others)))).where("_side = 0")
+    # the nearest values in turn, until they hold as many rows as are wanted
+    found = F.aggregate(
+        "_others", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d")),
+        lambda a, o: F.when(a["n"] < wanted, F.struct((a["n"] + o["n"]).alias("n"), o["d"].alias("d"))).otherwise(a), lambda a: a["d"])
+    return near.withColumn("radius", F.when(wanted <= 0, 0.0).otherwise(found)).drop("_side", "_block", "_others")
+
+
+def neighbour_information(df: DataFrame, features: Sequence[str], target: str, neighbors: int = NEIGHBORS,
+                          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """feature, score in nats: the estimate by nearest neighbours for a number and a class.
+
+    Around each row lies the distance to its `neighbors`-th neighbour of the same class; the more rows of any class lie closer than that,
+    the less the number tells. Equal numbers are counted first. The rows closer are a difference of two ranks: the ends of all
+    distances are ranked among the numbers in one pass. Missing numbers and classes of one row are left out.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).alias("c"), F.inline(cells)).where("value is not null")
+    counts = rows.groupBy("feature", "c", "value").agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    classes = counts.groupBy("feature", "c").agg(F.sum("n").alias("nc")).where("nc > 1")
+    counts = counts.join(F.broadcast(classes), ["feature", "c"])  # one row per feature and class
+    placed = value_prefix(counts, ["feature", "c"], "value", ["one"]).withColumnRenamed("one_lt", "place").drop("one")
+    asked = cut_lineage(_reach(placed, neighbors, block_rows).withColumns({
+        "low": F.col("value") - F.col("radius"), "high": F.col("value") + F.col("radius")}))
+    points = asked.select("feature", "value", F.col("n").alias("m"))
+    for end in ("low", "high"):
+        points = points.unionByName(asked.where("radius > 0").select("feature", F.col(end).alias("value"), F.lit(0).cast("long").alias("m")))
+    ranked = cut_lineage(value_prefix(points.groupBy("feature", "value").agg(F.sum("m").alias("m")), ["feature"], "value", ["m"]))
+    own = ranked.select("feature", "value", F.col("m").alias("_same"))
+    below = ranked.select("feature", F.col("value").alias("low"), (F.col("m_lt") + F.col("m")).alias("_below"))
+    above = ranked.select("feature", F.col("value").alias("high"), F.col("m_lt").alias("_above"))
+    met = asked.join(own, ["feature", "value"]).join(below, ["feature", "low"], "left").join(above, ["feature", "high"], "left")
+    closer = F.when(F.col("radius") > 0, F.col("_above") - F.col("_below")).otherwise(F.col("_same"))
+    told = digamma(F.least(F.lit(neighbors), F.col("nc") - 1)) - digamma(F.col("nc")) - digamma(closer)
+    return met.groupBy("feature").agg(F.sum(told * F.col("n")).alias("_sum"), F.sum("n").alias("_n")).select(
+        "feature", F.greatest(digamma(F.col("_n")) + F.col("_sum") / F.col("_n"), F.lit(0.0)).alias("score"))
+
+
 def top_information(scores: DataFrame, features: Sequence[str], k: int = TOP_INFORMATION) -> list[str]:
     """The k highest scores; equal scores keep the order of the features."""
     score = {r["feature"]: r["score"] for r in scores.collect()}

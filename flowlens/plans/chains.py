@@ -44,7 +44,7 @@ def choose_features(
     """Correlation filter and mutual information over all rows, then elimination with fits on a stratified sample."""
     rows = train.select(row_id, target, *candidates)
     left = selection.kept_features(candidates, selection.correlation_filter(selection.correlations(rows, candidates)))
-    left = selection.top_information(selection.mutual_information(rows, left, target), left, information)
+    left = selection.top_information(selection.neighbour_information(rows, left, target), left, information)
     fewer = splits.stratified_sample(rows, target, row_id, elimination_sample)
     kinds = sorted(r[0] for r in fewer.select(target).distinct().collect())
     place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(target)) - 1

@@ -199,6 +199,33 @@ def j3(spark, sf_dir):
     return selection.mutual_information(flows(spark, sf_dir), MI, "label_multiclass").withColumn("score", quantized("score"))
 
 
+DIGAMMA = ("(ln({n} + 6e0) - 5e-1 / ({n} + 6e0) - 1 / (12e0 * ({n} + 6e0) ** 2) + 1 / (120e0 * ({n} + 6e0) ** 4) - 1 / (252e0 * ({n} + 6e0) ** 6)"
+           " - 1e0 / {n} - 1e0 / ({n} + 1) - 1e0 / ({n} + 2) - 1e0 / ({n} + 3) - 1e0 / ({n} + 4) - 1e0 / ({n} + 5))")
+
+
+def digamma_sql(n: str) -> str:
+    return DIGAMMA.replace("{n}", f"({n})")
+
+
+@query("J3_neighbour_information", oracle("flows", f"""
+with long as ({' union all '.join(f"select '{f}' as feature, cast({f} as double) as v, label_multiclass as c from flows" for f in MI)}),
+sized as (select *, count(*) over (partition by feature, c) as nc from long),
+rows as (select *, row_number() over (partition by feature, c order by v) as i from sized where nc > 1),
+reach as (
+  select feature, v, c, nc, list_sort(list_filter([{', '.join(f"abs({s}(v, {i}) over w - v)" for s in ('lag', 'lead') for i in (1, 2, 3))}],
+    lambda x: x is not null))[least(3, nc - 1)] as r from rows window w as (partition by feature, c order by i)),
+vals as (select feature, v as x, count(*) as n from rows group by 1, 2),
+asked as (select distinct feature, v, r from reach),
+closer as (
+  select a.feature, a.v, a.r, sum(n) as m from asked a join vals on vals.feature = a.feature and x > a.v - a.r and x < a.v + a.r
+  where a.r > 0 group by 1, 2, 3
+  union all select a.feature, a.v, a.r, n from asked a join vals on vals.feature = a.feature and x = a.v where a.r = 0)
+select feature, round(greatest({digamma_sql("count(*)")} + avg({digamma_sql("least(3, nc - 1)")} - {digamma_sql("nc")} - {digamma_sql("m")}), 0), 6) as score
+from reach join closer using (feature, v, r) group by 1"""))
+def j3_neighbours(spark, sf_dir):
+    return selection.neighbour_information(flows(spark, sf_dir), MI, "label_multiclass").withColumn("score", quantized("score"))
+
+
 # ---- K6, K7, L5, L6
 
 
