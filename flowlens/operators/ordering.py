@@ -99,29 +99,37 @@ def class_sizes(df: DataFrame, class_col: str, max_classes: int = 10_000) -> dic
     return {r[0]: r["count"] for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))}
 
 
+EDGE_ROWS = 65_536
+DIGITS = 3  # hex digits of a key that one round of counting looks at
+
+
 def hash_thresholds(
-    df: DataFrame, class_col: str, row_id: str, quotas: Mapping, seed: int | str, digits: int = 3
+    df: DataFrame, class_col: str, row_id: str, quotas: Mapping, seed: int | str, edge_rows: int = EDGE_ROWS
 ) -> DataFrame:
     """Per class, the hash key of the last row inside the quota: one row per class.
 
-    Rows are counted by the first hex digits of their key; only the one bucket that holds the
-    quota's edge is sorted.
+    Rows are counted by the first hex digits of their key, then those with the digits of the quota's edge by the next ones, until
+    no class has more than `edge_rows` rows there; only these are sorted. A round is one row per class on the driver.
     """
     spark = df.sparkSession
     class_type = df.schema[class_col].dataType.simpleString()
-    quota = local_table(spark, [(c, int(q)) for c, q in quotas.items() if q > 0], f"_class {class_type}, _quota bigint"
-    )
-    keyed = df.select(F.col(class_col).alias("_class"), hash_key(row_id, seed).alias("_key"),
-                      F.col(row_id).alias("_rid"))
-    keyed = keyed.withColumn("_bkt", F.substring("_key", 1, digits))
-    counted = keyed.groupBy("_class", "_bkt").count().join(F.broadcast(quota), "_class")
-    upto = Window.partitionBy("_class").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("count").over(Window.partitionBy("_class"))
-    summed = counted.withColumn("_cum", F.sum("count").over(upto)).withColumn(
-        "_quota", F.least("_quota", total))
-    edge = summed.where((F.col("_cum") >= F.col("_quota")) & (F.col("_cum") - F.col("count") < F.col("_quota")))
-    edge = edge.select("_class", "_bkt", (F.col("_quota") - (F.col("_cum") - F.col("count"))).alias("_rest"))
-    within = keyed.join(F.broadcast(edge), ["_class", "_bkt"])
+    schema = f"_class {class_type}, _prefix string, _rest bigint"
+    edge = [(c, "", int(q)) for c, q in quotas.items() if q > 0]
+    keyed = df.select(F.col(class_col).alias("_class"), hash_key(row_id, seed).alias("_key"), F.col(row_id).alias("_rid"))
+    length, most = 0, None
+    while edge and length < 30 and (most is None or most > edge_rows):
+        within = keyed.join(F.broadcast(local_table(spark, edge, schema)), "_class").where(
+            F.substring("_key", 1, length) == F.col("_prefix"))
+        length += DIGITS
+        counted = within.groupBy("_class", "_rest", F.substring("_key", 1, length).alias("_prefix")).agg(F.count("*").alias("_n"))
+        upto = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+        every = Window.partitionBy("_class")
+        summed = counted.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_rest", F.least("_rest", F.sum("_n").over(every)))
+        at = summed.where((F.col("_cum") >= F.col("_rest")) & (F.col("_cum") - F.col("_n") < F.col("_rest")))
+        found = at.select("_class", "_prefix", (F.col("_rest") - (F.col("_cum") - F.col("_n"))).alias("_rest"), "_n").collect()
+        edge = [tuple(r)[:3] for r in found]
+        most = max((r["_n"] for r in found), default=0)
+    within = keyed.join(F.broadcast(local_table(spark, edge, schema)), "_class").where(F.substring("_key", 1, length) == F.col("_prefix"))
     rn = F.row_number().over(Window.partitionBy("_class").orderBy("_key", "_rid"))
     return within.withColumn("_rn", rn).where(F.col("_rn") == F.col("_rest")).select(
         "_class", F.col("_key").alias("_last_key"), F.col("_rid").alias("_last_rid"))

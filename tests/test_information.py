@@ -47,3 +47,19 @@ def test_neighbour_information(spark, block_rows):
         want = plain([v for v in values if v is not None], rest)
         assert math.isclose(got[name], want, abs_tol=1e-9), name
     assert got["shifted"] > 0.3 > got["noise"]
+
+
+@pytest.mark.parametrize("edge_rows", [0, 3, 65_536])
+def test_cut_of_a_hash_order(spark, edge_rows):
+    """However few rows of the edge are sorted, the quota's last row is the same."""
+    import hashlib
+
+    from flowlens.operators import ordering
+
+    rows = [(i, "hot" if i % 3 else "cold") for i in range(3000)] + [(3000, "one")]
+    df = spark.createDataFrame(rows, "row_id long, c string")
+    quotas = {"hot": 777, "cold": 1, "one": 5, "none": 0}
+    got = {r["_class"]: r["_last_rid"] for r in ordering.hash_thresholds(df, "c", "row_id", quotas, 42, edge_rows).collect()}
+    for c, q in quotas.items():
+        order = sorted((hashlib.md5(f"{i}-42".encode()).hexdigest(), i) for i, k in rows if k == c)
+        assert got.get(c) == (order[min(q, len(order)) - 1][1] if q and order else None)
