@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.functions.local import local_table
@@ -119,10 +122,41 @@ def alias_key(label: str) -> str:
 ALIASES = {alias_key(label): label for label in LABELS}
 
 
-def label_dim(spark: SparkSession) -> DataFrame:
-    """alias_key, label, label_binary, label_multiclass: one row per known label."""
-    rows = [(key, label, int(label != BENIGN), LABELS.index(label)) for key, label in ALIASES.items()]
-    return local_table(spark, rows, "alias_key string, label string, label_binary tinyint, label_multiclass smallint")
+@dataclass(frozen=True)
+class Vocabulary:
+    """The labels a caller knows, in the order of their multiclass ids, the benign one, and other spellings of them."""
+
+    labels: tuple[str, ...] = LABELS
+    benign: str = BENIGN
+    aliases: Mapping[str, str] = field(default_factory=dict)  # spelling -> label
+
+    def __post_init__(self):
+        if len(set(self.labels)) != len(self.labels):
+            raise ValueError("labels must differ")
+        if self.benign not in self.labels:
+            raise ValueError(f"the benign label {self.benign!r} is none of the labels")
+        lost = sorted(set(self.aliases.values()) - set(self.labels))
+        if lost:
+            raise ValueError(f"aliases of labels that are not listed: {lost}")
+        keys: dict[str, str] = {}
+        for spelling, label in [*((x, x) for x in self.labels), *self.aliases.items()]:
+            if keys.setdefault(alias_key(spelling), label) != label:
+                raise ValueError(f"{spelling!r} stands for {label!r} and {keys[alias_key(spelling)]!r}")
+
+    def keys(self) -> dict[str, str]:
+        return {alias_key(x): label for x, label in [*((x, x) for x in self.labels), *self.aliases.items()]}
+
+    def alias_dim(self, spark: SparkSession) -> DataFrame:
+        """alias_key, label: one row per spelling."""
+        return local_table(spark, list(self.keys().items()), "alias_key string, label string")
+
+    def label_dim(self, spark: SparkSession) -> DataFrame:
+        """label, label_binary, label_multiclass: one row per label."""
+        rows = [(label, int(label != self.benign), i) for i, label in enumerate(self.labels)]
+        return local_table(spark, rows, "label string, label_binary tinyint, label_multiclass smallint")
+
+
+PUBLISHED = Vocabulary()
 
 
 def severity_dim(spark: SparkSession) -> DataFrame:
