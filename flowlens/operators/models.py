@@ -13,12 +13,12 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.operators.boosting import fit_softmax_trees
 from flowlens.operators.ensemble import argmax_label
 from flowlens.operators.stages import ClassProbabilities, Doubles, SequenceVector
 
@@ -94,11 +94,14 @@ def forest(train, features, target, labels, trees: int = 200, depth: int = 30, s
 
 def boosted(train, features, target, labels, rounds: int = 250, depth: int = 8, rate: float = 0.05,
             subsample: float = 0.9, seed: int = 42) -> Model:
-    """Binary: boosted trees. More classes: one against the rest, raw scores through a softmax."""
+    """Binary: boosted trees. More classes: a tree per class and round on the softmax loss."""
+    if len(labels) > 2:
+        data = train.select(*features, class_index(target, labels).alias("_y"))
+        trees = fit_softmax_trees(data, features, "_y", len(labels), rounds, depth, rate, subsample, seed=seed)
+        last = ClassProbabilities(name="boosted", labels=[int(v) for v in labels], features=list(features))
+        return Model(PipelineModel([trees, last]))
     est = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=rate,
                         subsamplingRate=subsample, seed=seed)
-    if len(labels) > 2:
-        est = OneVsRest(classifier=est, featuresCol="_features", labelCol="_y", parallelism=4)
     return _fit("boosted", train, features, target, labels, est, False)
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -155,7 +156,7 @@ def lift(x: np.ndarray, turn: np.ndarray, phase: np.ndarray) -> np.ndarray:
 
 
 class _ForestWriter(MLWriter):
-    def __init__(self, stage: IsolationScore):
+    def __init__(self, stage: Stage):
         super().__init__()
         self.stage = stage
 
@@ -165,9 +166,13 @@ class _ForestWriter(MLWriter):
 
 
 class _ForestReader(MLReader):
-    def load(self, path: str) -> IsolationScore:
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str) -> Stage:
         meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        stage = IsolationScore()
+        stage = self.kind()
         stage._resetUid(meta["uid"])
         DefaultParamsReader.getAndSetParams(stage, meta)
         stage.nodes = self.sparkSession.read.parquet(f"{path}/nodes").toPandas()  # trees x rows at most
@@ -186,7 +191,7 @@ class IsolationScore(Stage):
 
     @classmethod
     def read(cls) -> MLReader:
-        return _ForestReader()
+        return _ForestReader(cls)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         forest = [t.sort_values("node") for _, t in self.nodes.groupby("tree")]
@@ -210,6 +215,53 @@ class IsolationScore(Stage):
         return df.withColumn("_score", score("_x"))
 
 
+class SoftmaxTrees(Stage):
+    """Margins of boosted trees, one tree per class and round, as `rawPrediction`. The nodes are a table beside the params."""
+
+    names = _param("names", TypeConverters.toListString)
+    classes = _param("classes", TypeConverters.toInt)
+    depth = _param("depth", TypeConverters.toInt)
+    losses = _param("losses", TypeConverters.toListFloat)  # mean loss of the training rows before each round
+    nodes: pd.DataFrame | None = None  # round, class, node, feature, threshold, value, gain
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader(cls)
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """The gains of a feature's cuts, as a share of all."""
+        inner = self.nodes[self.nodes["feature"] >= 0]
+        gains = np.bincount(inner["feature"], inner["gain"], len(self.get("names")))
+        return DenseVector(gains / gains.sum() if len(inner) else gains)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        classes, depth = self.get("classes"), self.get("depth")
+        trees = [(c, *(t[n].to_numpy() for n in ("node", "feature", "threshold", "value")))
+                 for (_, c), t in self.nodes.sort_values(["round", "class", "node"]).groupby(["round", "class"])]
+        packed = df.sparkSession.sparkContext.broadcast(trees)
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def margins(vectors: pd.Series) -> pd.Series:
+            x = np.stack(vectors.to_numpy())
+            out, rows = np.zeros((len(x), classes)), np.arange(len(x))
+            for c, node, feature, threshold, value in packed.value:
+                at = np.zeros(len(x), dtype="int64")  # places in the table of reachable nodes
+                for _ in range(depth):
+                    f = feature[at]
+                    right = ~(x[rows, np.maximum(f, 0)] < threshold[at])
+                    at = np.where(f >= 0, np.searchsorted(node, 2 * node[at] + 1 + right), at)
+                out[:, c] += value[at]
+            return pd.Series(list(out))
+
+        ship_package(df.sparkSession)
+        cells = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.get("names")])
+        return df.withColumn("rawPrediction", array_to_vector(margins(cells)))
+
+
 class AttackProbability(Stage):
     """A detector's score as two class probabilities: logistic in deviations from its threshold."""
 

@@ -81,6 +81,12 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_staged(spark: SparkSession, path: str) -> None:
+    """Deletes a table made under `staging_path`, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
