@@ -1,9 +1,10 @@
 """Exact k nearest neighbours by Euclidean distance, as a pruned join of bounded blocks.
 
 1. Equal vectors become one representative that keeps its k + 1 smallest ids.
-2. Representatives go to the nearest of a few pivots. From each cell's radius and its k + 1 smallest pivot
+2. Representatives go to a near one of the pivots, found over a first level of pivots; there is a pivot for every block
+   of rows, so cells stay small while the table grows. From each cell's radius and its k + 1 smallest pivot
    distances follows an upper bound on the neighbour distance of every query cell; cells that are farther by
-   the triangle inequality are not visited.
+   the triangle inequality are not visited. Tasks compare the cells, a share of the query cells each.
 3. Cells are cut into blocks of bounded size. A task meets one block of queries with one block of points and
    passes on only the k + 1 best per query, never the pairs.
 """
@@ -19,10 +20,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.functions.columns import hash_key
 from flowlens.operators.ordering import broadcast_if_small
-from flowlens.session import cut_lineage
+from flowlens.session import cut_lineage, ship_package
 
 BLOCK = 2048
-PIVOTS = 64
+MOST_PIVOTS = 4096
+CELLS_A_PART = 64
 HOT_COPIES = 50_000
 
 
@@ -35,16 +37,44 @@ def _representatives(rows: DataFrame, groups: Sequence[str], keep: int) -> DataF
     return ids.withColumn("_rep", F.col("_ids")[0])
 
 
-def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot `_cell` and the distance to it `_radius`."""
+class Pivots:
+    """Two levels: a row looks for its nearest pivot among those of the `near` nearest first pivots only."""
+
+    def __init__(self, centres: np.ndarray, near: int = 2):
+        self.centres = centres
+        self.heads = centres[:math.ceil(math.sqrt(len(centres)))]
+        self.near = min(near, len(self.heads))
+        home = _squares(centres, self.heads).argmin(axis=1)
+        self.members = [np.flatnonzero(home == h) for h in range(len(self.heads))]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and the distance to its pivot measured without cancellation."""
+        heads = np.argsort(_squares(x, self.heads), axis=1)[:, :self.near]
+        best, cell = np.full(len(x), np.inf), np.zeros(len(x), dtype="int64")
+        for h, members in enumerate(self.members):
+            rows = np.flatnonzero((heads == h).any(axis=1))
+            if not len(rows) or not len(members):
+                continue
+            d = _squares(x[rows], self.centres[members])
+            at = d.argmin(axis=1)
+            d = d[np.arange(len(rows)), at]
+            closer = d < best[rows]
+            best[rows[closer]], cell[rows[closer]] = d[closer], members[at[closer]]
+        return cell, np.sqrt(((x - self.centres[cell]) ** 2).sum(axis=1))
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * x @ y.T
+
+
+def _place(rows: DataFrame, pivots: Pivots) -> DataFrame:
+    """The pivot `_cell` and the distance to it `_radius`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["_vec"].to_numpy())
-                d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-                cell = d.argmin(axis=1)
-                pdf = pdf.assign(_cell=cell.astype("int32"), _radius=d[np.arange(len(x)), cell])
+                cell, radius = pivots.place(np.stack(pdf["_vec"].to_numpy()))
+                pdf = pdf.assign(_cell=cell.astype("int32"), _radius=radius)
             else:
                 pdf = pdf.assign(_cell=pd.Series(dtype="int32"), _radius=pd.Series(dtype="float64"))
             yield pdf
@@ -53,38 +83,53 @@ def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, f"{schema}, _cell int, _radius double")
 
 
-def _cells(rows: DataFrame, groups: Sequence[str]) -> dict:
-    """(group, cell) -> rows, largest radius. A few numbers per cell, on the driver."""
-    found = rows.groupBy(*groups, "_cell").agg(F.count("*").alias("n"), F.max("_radius").alias("u")).collect()
-    return {(tuple(r[g] for g in groups), r["_cell"]): (r["n"], r["u"]) for r in found}
+def _cells(rows: DataFrame, groups: Sequence[str], block: int) -> DataFrame:
+    """Blocks and largest radius of each cell."""
+    return rows.groupBy(*groups, "_cell").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("_subs"), F.max("_radius").alias("_most"))
 
 
-def _visits(points: DataFrame, queries: DataFrame, groups: Sequence[str], pivots: np.ndarray, need: int, block: int):
+def _visits(points: DataFrame, queries: DataFrame, groups: Sequence[str], pivots: Pivots, need: int, block: int) -> DataFrame:
     """Rows (group..., query cell, its blocks, point cell, its blocks) that must meet."""
-    p_cells, q_cells = _cells(points, groups), _cells(queries, groups)
     rn = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy("_radius"))
     closest = points.select(*groups, "_cell", "_radius").withColumn("_rn", rn).where(F.col("_rn") <= need)
-    near: dict = {}
-    for r in closest.collect():  # at most `need` numbers per cell
-        near.setdefault((tuple(r[g] for g in groups), r["_cell"]), []).append(r["_radius"])
-    gap = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1))
-    by_group: dict = {}
-    for (g, cell), (n, u) in p_cells.items():
-        by_group.setdefault(g, []).append((cell, n, u, sorted(near[g, cell])))
-    rows = []
-    for (g, a), (qn, qu) in q_cells.items():
-        cells = by_group.get(g, [])
-        reach = sorted(gap[a, b] + d for b, _, _, ds in cells for d in ds)[:need]
-        bound = qu + reach[-1] if len(reach) == need else math.inf
-        for b, n, u, _ in cells:
-            if gap[a, b] - qu - u <= bound * (1 + 1e-9) + 1e-12:
-                rows.append((*g, a, math.ceil(qn / block), b, math.ceil(n / block)))
-    return rows
+    near = closest.groupBy(*groups, "_cell").agg(F.collect_list("_radius").alias("_near"))  # at most `need` numbers
+    parts = math.ceil(len(pivots.centres) / CELLS_A_PART)
+    p_cells = _cells(points, groups, block).join(near, [*groups, "_cell"]).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    q_cells = _cells(queries, groups, block).withColumn("_part", F.pmod("_cell", F.lit(parts)))
+    q_cells = q_cells.toDF(*[f"q{c}" for c in q_cells.columns])  # names of its own: both sides may come from the same rows
+    keys = [*groups, "_part"]
+    names = [*groups, "_qcell", "_qsubs", "_pcell", "_psubs"]
+
+    def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({n: [] for n in names})
+        p_cell, p_most = p["_cell"].to_numpy(), p["_most"].to_numpy()
+        radii = np.full((len(p), need), np.inf)
+        for i, values in enumerate(p["_near"]):
+            radii[i, :len(values)] = values
+        kept = []
+        for i, (cell, most) in enumerate(zip(q["q_cell"], q["q_most"], strict=True)):
+            gap = np.sqrt(((pivots.centres[p_cell] - pivots.centres[cell]) ** 2).sum(axis=1))
+            reach = (gap[:, None] + radii).ravel()
+            bound = most + (np.partition(reach, need - 1)[need - 1] if len(reach) >= need else math.inf)
+            at = np.flatnonzero(gap - most - p_most <= bound * (1 + 1e-9) + 1e-12)
+            kept.append((np.full(len(at), i), at))
+        i, at = (np.concatenate(k) for k in zip(*kept, strict=True))
+        q_at, p_at = q.iloc[i], p.iloc[at]
+        out = {g: p_at[g].to_numpy() for g in groups}
+        return pd.DataFrame(out | {"_qcell": q_at["q_cell"].to_numpy(), "_qsubs": q_at["q_subs"].to_numpy(),
+                                   "_pcell": p_at["_cell"].to_numpy(), "_psubs": p_at["_subs"].to_numpy()})
+
+    kinds = [f"`{g}` {points.schema[g].dataType.simpleString()}" for g in groups]
+    return q_cells.groupBy(*[f"q{k}" for k in keys]).cogroup(p_cells.groupBy(*keys)).applyInPandas(
+        meet, ", ".join([*kinds, "_qcell int, _qsubs int, _pcell int, _psubs int"]))
 
 
 def _blocks(rows: DataFrame, groups: Sequence[str], side: str, sizes: DataFrame) -> DataFrame:
     """One row per block: the arrays of its representatives."""
-    numbered = rows.join(F.broadcast(sizes), [*groups, "_cell"]).withColumn(
+    numbered = rows.join(sizes, [*groups, "_cell"]).withColumn(
         "_sub", F.pmod(F.xxhash64("_rep"), F.col("_subs")))
     cells = F.collect_list(F.struct("_rep", "_ids", "_vec"))
     return numbered.groupBy(*groups, "_cell", "_sub").agg(cells.alias(f"_{side}")).withColumnsRenamed(
@@ -141,7 +186,7 @@ def knn_join(
     exclude_self: bool = True,
     vectors: bool = False,
     block: int = BLOCK,
-    pivots: int = PIVOTS,
+    pivots: int = MOST_PIVOTS,
 ) -> DataFrame:
     """(groups..., id, neighbor, distance, rank[, neighbor_vector]): the k nearest points of every query.
 
@@ -150,6 +195,7 @@ def knn_join(
     """
     need = k + 1
     gs = list(groups)
+    ship_package(points.sparkSession)
     base = points.select(*gs, F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
     asked = base if queries is None else queries.select(*gs, F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
     reps = _representatives(base, gs, need)
@@ -161,19 +207,16 @@ def knn_join(
         schema = ", ".join([*[f"{g} {points.schema[g].dataType.simpleString()}" for g in gs],
                             f"id {out_type}, neighbor {out_type}, distance double, rank int"])
         return spark.createDataFrame([], schema + (", neighbor_vector array<double>" if vectors else ""))
-    pivot_array = np.array(centres, dtype="float64")
-    placed = cut_lineage(_place(reps, pivot_array))
+    placing = Pivots(np.array(centres, dtype="float64"))
+    placed = cut_lineage(_place(reps, placing))
     if queries is None:
         q_reps, q_placed = reps, placed
     else:
         q_reps = _representatives(asked, gs, 1)
-        q_placed = cut_lineage(_place(q_reps, pivot_array))
-    rows = _visits(placed, q_placed, gs, pivot_array, need, block)
+        q_placed = cut_lineage(_place(q_reps, placing))
     kinds = [f"{g} {points.schema[g].dataType.simpleString()}" for g in gs]
-    meets = spark.createDataFrame(rows, ", ".join([*kinds, "_qcell int, _qsubs int, _pcell int, _psubs int"]))
-    sizes = {
-        side: meets.select(*gs, F.col(f"_{side}cell").alias("_cell"), F.col(f"_{side}subs").alias("_subs")).distinct()
-        for side in "qp"}
+    meets = _visits(placed, q_placed, gs, placing, need, block)
+    sizes = {side: broadcast_if_small(_cells(rows, gs, block).drop("_most")) for side, rows in (("q", q_placed), ("p", placed))}
     q_blocks = _blocks(q_placed, gs, "q", sizes["q"])
     p_blocks = _blocks(placed, gs, "p", sizes["p"])
 

@@ -159,6 +159,23 @@ def a9(spark, sf_dir):
                          F.lit(len(loaded.features)).cast("int").alias("width"))
 
 
+@query("A9_matrix_cells", oracle("marked", f"""
+select row_id, label_binary, unnest(generate_series(1, {len(FEATURES)})) as position,
+  round(unnest([{", ".join(f"cast({f} as double)" for f in FEATURES)}]), 6) as value from marked where not is_test"""))
+def a9_cells(spark, sf_dir):
+    """Every cell of the matrix, written as vectors and read back."""
+    from pyspark.ml.functions import vector_to_array
+
+    from flowlens.operators.transform import assemble
+
+    train, _ = halves(marked(spark, sf_dir))
+    path = staging_path(spark, "matrix")
+    assemble(train, FEATURES).select("row_id", "label_binary", "features").write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.select("row_id", "label_binary", F.posexplode(vector_to_array("features")).alias("_at", "value")).select(
+        "row_id", "label_binary", (F.col("_at") + 1).cast("bigint").alias("position"), quantized("value").alias("value"))
+
+
 @query("M4_stacking_binary")
 def m4(spark, sf_dir):
     df = view(spark, sf_dir, "preds").join(view(spark, sf_dir, "anom"), "original_index")

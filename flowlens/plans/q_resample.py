@@ -36,14 +36,19 @@ def unit(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 8) as bigint) / 4294967296e0"
 
 
-def synthetic_sql(copies: str) -> str:
+ENDS = """round(p.features[1] + gap * (n.neighbor_vector[1] - p.features[1]), 6) as first,
+  round(p.features[64] + gap * (n.neighbor_vector[64] - p.features[64]), 6) as last"""
+CELLS = """unnest(generate_series(1, len(p.features))) as position,
+  round(unnest(list_transform(list_zip(p.features, n.neighbor_vector), lambda x: x[1] + gap * (x[2] - x[1]))), 6) as value"""
+
+
+def synthetic_sql(copies: str, shown: str = ENDS) -> str:
     """Rows of `copies`(id, label, features, copies) interpolated towards `near_class`."""
     return f"""
 {copies}, made as (select c.id, c.label, c.features, unnest(generate_series(1, c.copies)) as copy from copied c where c.copies > 0),
 picked as (select m.*, cast(floor({unit("m.id || '-' || m.copy || '-42-n'")} * n.cnt) as bigint) + 1 as pick, {unit("m.id || '-' || m.copy || '-42-u'")} as gap
   from made m join (select id, count(*) as cnt from near group by 1) n on n.id = m.id)
-select p.id as vec_id, p.label, cast(p.copy as int) as copy, n.neighbor,
-  round(p.features[1] + gap * (n.neighbor_vector[1] - p.features[1]), 6) as first, round(p.features[64] + gap * (n.neighbor_vector[64] - p.features[64]), 6) as last
+select p.id as vec_id, p.label, cast(p.copy as int) as copy, n.neighbor, {shown}
 from picked p join near n on n.id = p.id and n.rank = p.pick"""
 
 
@@ -59,9 +64,27 @@ def shown(df):
                      quantized(F.col("features")[63]).alias("last"))
 
 
-@query("G2_smote", oracle("near_class", synthetic_sql(even_sql("select 3 as label, 130 as g"))))
+def cells(df):
+    """One row per component of every synthetic vector."""
+    return df.select("vec_id", "label", "copy", "neighbor", F.posexplode("features").alias("_at", "value")).select(
+        "vec_id", "label", "copy", "neighbor", (F.col("_at") + 1).cast("bigint").alias("position"), quantized("value").alias("value"))
+
+
+ONE_CLASS = even_sql("select 3 as label, 130 as g")
+
+
+def one_class(spark, sf_dir):
+    return resample.smote(emb(spark, sf_dir), "label", "vec_id", "features", {3: 130})
+
+
+@query("G2_smote", oracle("near_class", synthetic_sql(ONE_CLASS)))
 def g2(spark, sf_dir):
-    return shown(resample.smote(emb(spark, sf_dir), "label", "vec_id", "features", {3: 130}))
+    return shown(one_class(spark, sf_dir))
+
+
+@query("G2_smote_cells", oracle("near_class", synthetic_sql(ONE_CLASS, CELLS)))
+def g2_cells(spark, sf_dir):
+    return cells(one_class(spark, sf_dir))
 
 
 define("hard", f"""select id, avg(case when nl <> 3 then 1e0 else 0e0 end) as level from (select a.vec_id as id, b.label as nl,
@@ -86,19 +109,42 @@ def g3(spark, sf_dir):
     return out.select("vec_id", quantized("level").alias("level"), "copies")
 
 
-@query("G3_adasyn", oracle("adasyn_alloc near_class", synthetic_sql("""
-with near as (select * from near_class), copied as (select a.id, e.label, e.features, a.copies from adasyn_alloc a join emb e on e.vec_id = a.id)""")))
-def g3_rows(spark, sf_dir):
+HARD_COPIES = """
+with near as (select * from near_class), copied as (select a.id, e.label, e.features, a.copies from adasyn_alloc a join emb e on e.vec_id = a.id)"""
+
+
+def adaptive(spark, sf_dir):
     made = resample.adasyn(minority(spark, sf_dir), "minor", "vec_id", "features", 1, 0)
-    return shown(made.withColumn("label", F.lit(3)))
+    return made.withColumn("label", F.lit(3))
 
 
-@query("G4_smote_multiclass", oracle("near_class", synthetic_sql(even_sql(
-    "select label, least(greatest(n, 57), 60) - n as g from sizes where label <> 0 and least(greatest(n, 57), 60) > n"))))
-def g4(spark, sf_dir):
+@query("G3_adasyn", oracle("adasyn_alloc near_class", synthetic_sql(HARD_COPIES)))
+def g3_rows(spark, sf_dir):
+    return shown(adaptive(spark, sf_dir))
+
+
+@query("G3_adasyn_cells", oracle("adasyn_alloc near_class", synthetic_sql(HARD_COPIES, CELLS)))
+def g3_cells(spark, sf_dir):
+    return cells(adaptive(spark, sf_dir))
+
+
+EVERY_CLASS = even_sql("select label, least(greatest(n, 57), 60) - n as g from sizes where label <> 0 and least(greatest(n, 57), 60) > n")
+
+
+def every_class(spark, sf_dir):
     df = emb(spark, sf_dir)
     wanted = resample.smote_targets(resample.class_sizes(df, "label"), 0, 57, 60)
-    return shown(resample.smote(df, "label", "vec_id", "features", wanted))
+    return resample.smote(df, "label", "vec_id", "features", wanted)
+
+
+@query("G4_smote_multiclass", oracle("near_class", synthetic_sql(EVERY_CLASS)))
+def g4(spark, sf_dir):
+    return shown(every_class(spark, sf_dir))
+
+
+@query("G4_smote_multiclass_cells", oracle("near_class", synthetic_sql(EVERY_CLASS, CELLS)))
+def g4_cells(spark, sf_dir):
+    return cells(every_class(spark, sf_dir))
 
 
 @query("G5_balance_binary", oracle("emb", """

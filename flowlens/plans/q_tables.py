@@ -118,6 +118,18 @@ def f2(spark, sf_dir):
                      F.col("label_Bot").alias("bot"), F.col("label_ddos").alias("ddos"))
 
 
+@query("F2_one_hot_categories", oracle("flows_raw", f"""
+with seen as (select distinct coalesce(label, '{transform.MISSING}') as category from flows_raw)
+select row_id, category, case when coalesce(label, '{transform.MISSING}') = category then 1e0 else 0e0 end as value from flows_raw, seen"""))
+def f2_categories(spark, sf_dir):
+    """Every column of the encoding, one row each."""
+    raw = view(spark, sf_dir, "flows_raw")
+    known = transform.fit_categories(raw, "label")
+    df = transform.one_hot(raw, "label", known)
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"`label_{c}`").alias("value")) for c in known])
+    return df.select("row_id", F.inline(pairs))
+
+
 @query("F2_one_hot_unseen", oracle("flows", """
 select row_id, case when source_file = 'source_1.csv' then 1e0 else 0e0 end as source_1 from flows"""))
 def f2_unseen(spark, sf_dir):
