@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.session import ship_package
 
 RANGE_BYTES = 16 << 20
-STEP = 1 << 20  # read at once behind the end of a range
+STEP = 1 << 20  # read at most at once behind the end of a range; the first step is small, each is twice the one ahead
+FIRST_STEP = 4096
 DELIMITERS = ",;\t|"
 BOM = b"\xef\xbb\xbf"
 BREAK, RETURN, QUOTE = 10, 13, 34
@@ -53,7 +54,7 @@ class Bytes:
 
     def __init__(self, path: str, start: int, stop: int, length: int):
         store, inner = fs.FileSystem.from_uri(path)
-        self.file, self.length = store.open_input_file(inner), length
+        self.file, self.length, self.step = store.open_input_file(inner), length, FIRST_STEP
         self.low = max(start - 1, 0)
         self.data = self._read(self.low, stop)
         self.start, self.stop = self._past_quotes(start), self._past_quotes(stop)
@@ -67,7 +68,8 @@ class Bytes:
         end = self.low + len(self.data)
         if end >= self.length:
             return False
-        self.data += self._read(end, min(end + STEP, self.length))
+        self.data += self._read(end, min(end + self.step, self.length))
+        self.step = min(2 * self.step, STEP)
         return True
 
     def _past_quotes(self, at: int) -> int:

@@ -211,8 +211,9 @@ def number_rows(df: DataFrame, source: str, row_id: str) -> DataFrame:
         source, F.coalesce(F.sum("_f").over(over_files), F.lit(0)).alias("_base"))
     offsets = splits.join(files, source).select(source, "_start", (F.col("_before") + F.col("_base")).alias("_offset"))
     rn = F.row_number().over(Window.partitionBy(source, "_start").orderBy("_at"))
+    # merged: the planner takes rows that Python parsed for as small as the list of their ranges and would send them through the driver
     return (
-        df.join(offsets, [source, "_start"]).withColumn(row_id, F.col("_offset") + rn - 1)
+        df.hint("merge").join(offsets, [source, "_start"]).withColumn(row_id, F.col("_offset") + rn - 1)
         .drop("_start", "_at", "_offset")
     )
 

@@ -91,3 +91,35 @@ def test_encodings_of_ranges(spark, tmp_path, range_bytes):
         (tmp_path / name).write_bytes(raw)
     got = {r["file_name"]: r["encoding"] for r in csv_files.profile_files(spark, str(tmp_path), range_bytes).collect()}
     assert got == {name: whole_encoding(raw) for name, raw in files.items()}
+
+
+def broadcasts_of_parsed_rows(df):
+    """Broadcasts in the plan as it ran whose rows come straight from the parser, not from an aggregate of them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in lines]
+    found = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                below.append(lines[j])
+            text = "\n".join(below)
+            found += "MapInPandas" in text and "HashAggregate" not in text
+    return found
+
+
+def test_parsed_rows_do_not_go_through_the_driver(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("".join(f'"{i}","two\nlines {i}"\n' for i in range(4000)))
+    df = csv_files.read_files(spark, f"file://{tmp_path}", range_bytes=4096)
+    assert len(df.collect()) == 2 * 3999
+    assert broadcasts_of_parsed_rows(df) == 0
+
+
+def test_a_small_range_reads_little_behind_its_end(tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes(b'"1","x"\n' * 100_000)
+    found = byte_ranges.Bytes(f"file://{path}", 1 << 16, 1 << 17, path.stat().st_size)
+    assert len(found.data) <= (1 << 16) + 1 + 2 * byte_ranges.FIRST_STEP
