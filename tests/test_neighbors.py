@@ -74,3 +74,20 @@ def test_visited_blocks_grow_far_slower_than_all_pairs(spark):
 def test_few_rows(spark, k):
     x = clustered(5, 12)
     assert found(neighbors.knn_join(vectors(spark, x), k, "id", "v", block=2)) == nearest(x, x, k, np.zeros(12))
+
+
+def shuffled_bytes(spark, n):
+    """Bytes shuffled by a search in which the bound skips nothing."""
+    def total():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    x = np.random.default_rng(6).normal(size=(n, 16))
+    points, before = vectors(spark, x), total()
+    assert neighbors.knn_join(points, 5, "id", "v", block=20, pivots=8).count() == 5 * n
+    return total() - before
+
+
+def test_rows_sent_grow_as_the_table_where_nothing_is_skipped(spark):
+    shuffled_bytes(spark, 600)
+    assert shuffled_bytes(spark, 3600) < 9 * shuffled_bytes(spark, 600)  # all pairs of blocks: 36 times as many
