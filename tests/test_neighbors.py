@@ -1,10 +1,13 @@
 """Neighbours over many pivots: exact, and with work per query that falls as the table grows."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import neighbors
+from flowlens.operators import anomaly, neighbors
+from flowlens.session import shared_dir
 
 
 def vectors(spark, x, group=None):
@@ -91,3 +94,22 @@ def shuffled_bytes(spark, n):
 def test_rows_sent_grow_as_the_table_where_nothing_is_skipped(spark):
     shuffled_bytes(spark, 600)
     assert shuffled_bytes(spark, 3600) < 9 * shuffled_bytes(spark, 600)  # all pairs of blocks: 36 times as many
+
+
+def test_the_outlier_factor_stores_no_pairs_of_its_queries(spark):
+    def stored():
+        where = shared_dir(spark)
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(where) for f in names)
+
+    def rows(n, seed, first):
+        x = np.random.default_rng(seed).normal(size=(n, 3))
+        return vectors(spark, x).withColumn("id", F.col("id") + first)
+
+    def kept(n):
+        before = stored()
+        got = anomaly.local_outlier_factor(rows(400, 7, 0), rows(n, 8, 10_000), "id", "v")
+        assert got.count() == n
+        return stored() - before
+
+    few, many = kept(500), kept(4500)
+    assert many - few < 4000 * 200  # 20 neighbours of 28 bytes each are more
