@@ -413,6 +413,33 @@ def test_detectors_run_with_the_published_settings(spark, monkeypatch, name, tar
     assert called.value.args == ({},)
 
 
+def test_detectors_are_fitted_on_all_benign_rows(spark, monkeypatch):
+    """More benign training rows than the published caps of 40 000 and 60 000; a cap holds where a caller gives one."""
+    df = spark.range(140_000).select("id", (F.col("id") % 4 == 3).cast("int").alias("label_binary"), (F.col("id") % 5 == 0).alias("is_test"),
+                                     F.rand(1).alias("a"), F.rand(2).alias("b"))
+    read = {}
+
+    def watch(name):
+        def fit(train, *args, **settings):
+            read[name] = train.count()
+            return lambda rows: rows.withColumn("score", F.col("a"))
+        monkeypatch.setattr(anomaly, name, fit)
+
+    for name in ("isolation_forest", "one_class", "reconstruction"):
+        watch(name)
+
+    def lof(train, queries, id_col, vec_col):
+        read["local_outlier_factor"] = train.count()
+        return queries.select(id_col, F.col("a").alias("score"))
+
+    monkeypatch.setattr(anomaly, "local_outlier_factor", lof)
+    assert anomaly.run_detectors(df, ("a", "b"), "id").count() == 4
+    benign = df.where("not is_test and label_binary = 0").count()
+    assert benign - benign // 10 > 60_000 and set(read.values()) == {benign - benign // 10}
+    anomaly.run_detectors(df, ("a", "b"), "id", caps={"one_class": 1_000}).count()
+    assert read["one_class"] == 1_000 and read["local_outlier_factor"] == benign - benign // 10
+
+
 # ---- streams
 
 
