@@ -102,3 +102,43 @@ def test_missing_features_empty_tables_and_one_class(spark, table):
     assert np.allclose(scores(nothing.score(df), "p_boosted"), 1 / 3)
     single = models.boosted(df.where("label = 1"), NAMES, "label", (0, 1, 2), rounds=2, depth=2, rate=0.3)
     assert (scores(single.predict(df), "predicted") == 1).all()
+
+
+def test_rows_between_the_same_cuts_go_one_way(table, monkeypatch):
+    """Rows, cells of parts and remembered cells of a task give the same margins; a level is one pass over cells, not over rows."""
+    x, y = rows_of(4, 300)
+    df = table(x, y)
+    once = boosting.fit_softmax_trees(df, NAMES, "label", 3, rounds=4, depth=3, rate=0.3, bins=8)
+    monkeypatch.setattr(boosting, "PART_ROWS", 20)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 50)
+    parts = boosting.fit_softmax_trees(df, NAMES, "label", 3, rounds=4, depth=3, rate=0.3, bins=8)
+    assert np.allclose(once.nodes, parts.nodes)
+    part = boosting.Part(np.array([[0], [1]], dtype="uint8"), np.array([0, 0, 1], dtype="int32"), np.array([1, 0, 1]), np.arange(3), np.zeros((2, 2)))
+    seen = boosting._weighed(part, 0, 1.1, 1)
+    assert seen.g.tolist() == [[0.0, 0.0], [0.5, -0.5]] and seen.h.tolist() == [[0.5, 0.5], [0.25, 0.25]] and seen.loss[1] == 3
+    got = np.array([r[0].toArray() for r in parts.transform(df.orderBy("row_id")).select("rawPrediction").collect()])
+    want = np.zeros((len(x), 3))
+    for (_, c), t in parts.nodes.groupby(["round", "class"]):
+        tree = {n.node: n for n in t.itertuples()}
+        for i, row in enumerate(x):
+            at = tree[0]
+            while at.feature >= 0:
+                at = tree[2 * at.node + 1 + (not row[at.feature] < at.threshold)]
+            want[i, c] += at.value
+    assert np.allclose(got, want)
+
+
+def test_a_level_is_one_small_job(spark, table):
+    """250 rounds of depth 8 are 2 000 levels: a level may not plan a query, nor send sums of every part to the driver."""
+    x, y = rows_of(5)
+    df = table(x, y)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("levels", "")
+    try:
+        boosting.fit_softmax_trees(df, NAMES, "label", 3, rounds=1, depth=2, rate=0.3)
+        few = len(tracker.getJobIdsForGroup("levels"))
+        boosting.fit_softmax_trees(df, NAMES, "label", 3, rounds=4, depth=2, rate=0.3)
+        more = len(tracker.getJobIdsForGroup("levels"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert (more - few) - few == 3 * 2
