@@ -6,9 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from flowlens.operators import anomaly, models, selection
+from flowlens.operators import anomaly, models, networks, selection
 from flowlens.operators.stages import IsolationScore, lift
 
 NAMES = ("a", "b", "c")
@@ -95,6 +96,32 @@ def test_dense_network_forward_pass(table):
     assert np.allclose(arrays(model.score(df), "p_dense"), z / z.sum(axis=1, keepdims=True))
 
 
+def test_network_gradient_and_layouts(table):
+    """The gradient is the slope of the loss; a fit does not depend on how rows lie in parts and gets as low as Spark's own."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    rng = np.random.default_rng(11)
+    layers, x, y = [3, 4, 2], rng.normal(size=(7, 3)), np.arange(7) % 2
+    w = rng.normal(size=3 * 4 + 4 + 4 * 2 + 2)
+    rows, _, *slope = networks.loss_sums(w, layers, x, y)
+    step = 1e-6 * np.eye(len(w))
+    want = [(networks.loss_sums(w + d, layers, x, y)[1] - networks.loss_sums(w - d, layers, x, y)[1]) / 2e-6 for d in step]
+    assert rows == 7 and np.allclose(slope, want, atol=1e-6)
+
+    x, y, df = table(4)
+    parts = [df.coalesce(1), df.repartition(7, "a"), df.repartition(3)]
+    made = [models.dense(d, NAMES, "label", (0, 1), hidden=(4, 3), max_iter=10) for d in parts]
+    found = [m.classifier.weights.toArray() for m in made]
+    assert np.allclose(found[0], found[1], atol=1e-6) and np.allclose(found[0], found[2], atol=1e-6)
+
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    ours = models.dense(df, NAMES, "label", (0, 1), hidden=(4, 3), max_iter=60)
+    spark_fit = MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol="_y", seed=42, maxIter=60, layers=[3, 4, 3, 2]).fit(
+        PipelineModel(ours.pipeline.stages[:-2]).transform(df.coalesce(1).withColumn("_y", F.col("label").cast("double"))))
+    low = [networks.loss_sums(m.weights.toArray(), [3, 4, 3, 2], z, y)[1] for m in (ours.classifier, spark_fit)]
+    assert low[0] <= 1.1 * low[1] + 1e-3
+
+
 def test_sequence_model_falls_back_to_priors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [[float(v) for v in rng.normal(size=2) + i % 2] for _ in range(3)] if i % 4 else None, i % 2) for i in range(80)]
